@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 
 from voltloom.session import cut
 
+CELLS_A_TASK = 20_000
+
 
 @dataclass
 class Mixture:
@@ -134,6 +136,7 @@ def fit_mixture(df: DataFrame, numbers: Sequence[str], widths: Sequence[float],
     """
     d, eps = len(numbers), np.array([w * w / 12 for w in widths])
     cell = cut(cells(df, numbers, widths, categories))
+    cell = cell.coalesce(max(1, -(-cell.count() // CELLS_A_TASK)))
     lead = cell.where("b0 is not null").groupBy("b0").agg(F.sum("w").alias("w"), *[F.avg(f"m{i}").alias(f"m{i}") for i in range(d)]).orderBy("b0").collect()
     means = np.zeros((components, d))
     spread = [r[0] or 0.0 for r in [cell.agg(F.try_sum(F.col(f"m{i}") * F.col("w")) / F.try_sum(F.when(F.col(f"m{i}").isNotNull(), F.col("w")))).first() for i in range(d)]] if lead else [0.0] * d
@@ -148,12 +151,9 @@ def fit_mixture(df: DataFrame, numbers: Sequence[str], widths: Sequence[float],
     if not lead:
         return model
     for _ in range(iterations):
-        length = 1 + d + d * d + sum(sizes)
-        parts = cell.mapInPandas(_statistics(model, d, sizes), "k int, s array<double>")
-        sums = parts.groupBy("k").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(length)]).alias("s")).collect()
-        s = np.zeros((components, length))
-        for row in sums:
-            s[row["k"]] = row["s"]
+        s = np.zeros((components, 1 + d + d * d + sum(sizes)))
+        for row in cell.mapInPandas(_statistics(model, d, sizes), "k int, s array<double>").collect():  # K rows a task
+            s[row["k"]] += row["s"]
         n = s[:, 0]
         live = n > 1e-6 * n.sum()
         weights = np.where(live, n, 1e-6 * n.sum())
