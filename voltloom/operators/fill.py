@@ -15,7 +15,8 @@ def _before(keys: Sequence[str], order: str):
 
 
 def _after(keys: Sequence[str], order: str):
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    """The rows from here on, nearest last: a frame that grows, as one that shrinks is summed up anew for every row."""
+    return Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def forward_fill(value: Column, keys: Sequence[str], order: str) -> Column:
@@ -24,7 +25,7 @@ def forward_fill(value: Column, keys: Sequence[str], order: str) -> Column:
 
 
 def backward_fill(value: Column, keys: Sequence[str], order: str) -> Column:
-    return F.first(value, ignorenulls=True).over(_after(keys, order))
+    return F.last(value, ignorenulls=True).over(_after(keys, order))
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], order: str, value: str, *, limit: int | None = None, whole_gap_only: bool = False, edges: bool = False, out: str = "filled") -> DataFrame:
@@ -35,7 +36,7 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: str, value: str, *, l
     """
     t = micros(order).cast("double")
     known = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).alias("v")))
-    x = df.withColumn("_p", F.last(known, ignorenulls=True).over(_before(keys, order))).withColumn("_n", F.first(known, ignorenulls=True).over(_after(keys, order)))
+    x = df.withColumn("_p", F.last(known, ignorenulls=True).over(_before(keys, order))).withColumn("_n", F.last(known, ignorenulls=True).over(_after(keys, order)))
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (t - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
     can = F.col("_p").isNotNull() & F.col("_n").isNotNull()
     if limit is not None:

@@ -173,10 +173,12 @@ def fit_mixture(df: DataFrame, numbers: Sequence[str], widths: Sequence[float],
 def fill_gaps(df: DataFrame, model: Mixture, numbers: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
     """``df`` with the gaps of ``numbers`` and ``categories`` filled, and ``<name>_filled`` saying which were.
 
-    Defined cases: NaN counts as null; a code outside the fitted range stays; all other
-    columns pass through unchanged; an empty table stays empty.
+    Defined cases: NaN and infinite values count as null; a code outside the fitted range
+    stays; older marks are replaced and all other columns pass through unchanged; an empty
+    table stays empty.
     """
     marks = [*numbers, *categories]
+    df = df.drop(*[f"{m}_filled" for m in marks])
     schema = T.StructType([*df.schema.fields, *[T.StructField(f"{m}_filled", T.BooleanType()) for m in marks]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -49,7 +49,7 @@ def acceptance(events: DataFrame, answers: DataFrame, as_of: Column) -> DataFram
     """Per household: invitations and acceptance rate over the events that ended by as_of."""
     past = events.where(F.col("end_ts") <= as_of).select("event_id").distinct()
     x = answers.join(past, "event_id", "left_semi")
-    return x.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_invitations"), F.avg((F.col("response") == "accept").cast("double")).alias("acceptance_rate"))
+    return x.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_invitations"), F.avg(F.coalesce(F.col("response") == "accept", F.lit(False)).cast("double")).alias("acceptance_rate"))
 
 
 def month_position(daily: DataFrame, client: str, day: str, kwh: str, as_of: Column) -> DataFrame:
@@ -95,7 +95,7 @@ def savings(windows: DataFrame, by: Sequence[str] = ("event_id", "segment")) ->
     where their earlier energy is zero, the event's ratio over all segments is used.
     """
     ok = windows.where(F.col("pre_kwh").isNotNull() & F.col("actual_kwh").isNotNull())
-    took = F.col("response") == "accept"
+    took = F.coalesce(F.col("response") == "accept", F.lit(False))
     s = lambda c, v: F.sum(F.when(c, F.col(v)))
     n = lambda c: F.count(F.when(c, 1))
     g = ok.groupBy(*by).agg(n(took).alias("accepters"), n(~took).alias("peers"), s(took, "pre_kwh").alias("a_pre"), s(took, "actual_kwh").alias("actual_kwh"), s(~took, "pre_kwh").alias("p_pre"), s(~took, "actual_kwh").alias("p_act"))
