@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 MOST_BITS = 1 << 26
 
 
-def bloom_filter(keys: DataFrame, key: str, fpp: float = 0.01) -> bytes:
-    """The serialised filter of ``key``'s non-null values: partial filters per partition, merged as a tree."""
+def bloom_filter(keys: DataFrame, key: str, fpp: float = 0.01) -> bytes | None:
+    """The serialised filter of ``key``'s non-null values: partial filters per partition, merged as a tree. None without values."""
     h = keys.where(F.col(key).isNotNull()).select(F.xxhash64(F.col(key)).alias("h"))
-    n = max(h.agg(F.approx_count_distinct("h")).first()[0], 1)
+    n = h.agg(F.approx_count_distinct("h")).first()[0]
+    if not n:
+        return None
     bits = min(int(n * 1.1 * 9.6 * (1 if fpp >= 0.01 else 1.5)) + 64, MOST_BITS)
     made = h._jdf.stat().bloomFilter("h", int(n * 1.1) + 16, bits)
     out = keys.sparkSession._jvm.java.io.ByteArrayOutputStream()
@@ -20,8 +22,10 @@ def bloom_filter(keys: DataFrame, key: str, fpp: float = 0.01) -> bytes:
     return bytes(out.toByteArray())
 
 
-def might_contain(spark, filter_bytes: bytes, c: Column) -> Column:
+def might_contain(spark, filter_bytes: bytes | None, c: Column) -> Column:
     """False only if the value is certainly not among the filter's keys."""
+    if filter_bytes is None:
+        return F.lit(False)
     from pyspark.sql.classic.column import Column as ClassicColumn
 
     jvm = spark._jvm
