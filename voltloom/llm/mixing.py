@@ -36,9 +36,10 @@ def mix(docs: DataFrame, doc: Column, source: Column, size: Column, plan: DataFr
     size_used, most_size (each document used max_repeats times), reached.
 
     The document that passes its source's target is kept if that comes nearer to the target
-    than leaving it out. Defined cases: documents of other sources, or with a null id or source, take no part; sizes null
-    or below zero count as zero; null or non-positive shares or repeats give nothing; sources
-    without documents are reported with zero; an empty plan gives empty results.
+    than leaving it out. Defined cases: documents of other sources, or with a null id or
+    source, take no part; sizes null or below zero count as zero; null or non-positive shares
+    or repeats give nothing; sources without documents are reported with zero; an empty plan
+    gives empty results.
     """
     p = plan.select(F.col("source").alias("name"), board(F.col("source")).alias("source"), F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("most"))
     p = p.where("source is not null").dropDuplicates(["source"])
@@ -52,7 +53,7 @@ def mix(docs: DataFrame, doc: Column, source: Column, size: Column, plan: DataFr
     x = x.join(F.broadcast(own.drop("documents")) if few else own.drop("documents"), "source")
     passes = F.least(F.col("most"), F.ceil(F.col("share") * total / F.greatest(F.col("once"), F.lit(1))).cast("int") + 1)
     x = x.withColumn("repeat", F.explode(F.when(passes > 0, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>"))))
-    x = x.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "repeat")).withColumn("bucket", F.col("repeat") * 64 + F.shiftright("h", 58).cast("int"))
+    x = x.where("share > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "repeat")).withColumn("bucket", F.col("repeat") * 64 + F.shiftright("h", 58).cast("int"))
     x = running_totals(x, "source", "bucket", ["h", "doc_id"], "size")
     x = x.withColumn("finish", F.col("upto") / F.col("share")).where((F.col("upto") - F.col("size") / 2) / F.col("share") <= total)
     mixture = x.select("doc_id", F.col("name").alias("source"), "repeat", "size", "finish").repartitionByRange("finish").sortWithinPartitions("finish", "doc_id")

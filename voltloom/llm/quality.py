@@ -103,7 +103,8 @@ def grade(stats: DataFrame, table: DataFrame | None = None) -> DataFrame:
 
     table: sketches per language (None: those of ``stats``). Documents of a language without
     a sketch, or of no language, are measured against all languages together.
-    Defined cases: a document without words is not prose; equal statistics give a z of zero.
+    Defined cases: a document without any common word (so also one without words) is not
+    prose, whatever the others are; equal statistics give a z of zero.
     """
     if table is None:
         stats = cut(stats)  # read twice: the texts are parsed once
@@ -123,4 +124,4 @@ def grade(stats: DataFrame, table: DataFrame | None = None) -> DataFrame:
     for m, (side, z, bound, _) in TAILS.items():
         marks.append(F.when(enough.get(m, F.lit(True)) & (F.col(f"z_{m}") * side > z) & ((F.col(m) - bound) * side > 0), F.lit(m)))
     far = F.filter(F.array(*marks), lambda s: s.isNotNull())
-    return x.drop(*[f"s_{m}" for m in MEASURES]).withColumn("far", far).withColumn("prose", (F.size("far") == 0) & (F.col("words") > 0))
+    return x.drop(*[f"s_{m}" for m in MEASURES]).withColumn("far", far).withColumn("prose", (F.size("far") == 0) & (F.col("language") != "und"))
