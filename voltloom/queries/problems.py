@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.functions.columns import canonical_id
+from voltloom.functions.columns import POWER_STAND_INS, canonical_id, measured
 from voltloom.operators.implausible import implausible_readings
 from voltloom.operators.imputation import POWER_FIELDS, fill_power, fill_temperature, power_columns
 from voltloom.operators.orphans import count_orphans, life_spans, orphan_references
 from voltloom.operators.regular_grid import regular_grid
 from voltloom.operators.trailing import trailing_totals
+from voltloom.queries.problems_sql import SQL  # noqa: F401
 from voltloom.sources.tables import read
 
 
@@ -30,7 +31,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_region_minutes(spark: SparkSession, d: str) -> DataFrame:
     """One row per region and minute: load held between readings, silent minutes filled and marked."""
-    return regular_grid(read(spark, d, "grid_1min"), ["region_id"], "timestamp", "households_consumption_kw")
+    x = regular_grid(read(spark, d, "grid_1min"), ["region_id"], "timestamp", "households_consumption_kw")
+    return x.withColumn("value", F.round("value", 9))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +58,6 @@ def p4_trailing_power(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_trailing_partition(spark: SparkSession, d: str) -> DataFrame:
-    from voltloom.functions.columns import POWER_STAND_INS, measured
-
     return trailing_totals(read(spark, d, "partition_data"), F.col("client_id"), "timestamp", measured(F.col("aggregate_w"), POWER_STAND_INS))
 
 
@@ -100,5 +100,3 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_region_minutes, p3_found, p3_filled, p4_found, p4_trailing_power, p4_trailing_partition, p6_found, p6_flagged, p7_found, p7_counts)}
-
-from voltloom.queries.problems_sql import SQL  # noqa: E402, F401

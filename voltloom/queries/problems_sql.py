@@ -92,4 +92,16 @@ FROM f WINDOW a AS (PARTITION BY entity ORDER BY day ROWS 6 PRECEDING), b AS (PA
 
 P4_TRAILING = _DAILY.format(id=_ID.format(c="client_id"), v="aggregate_power_w", t="households_1min_c001_c025", more="true")
 
-SQL = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_trailing_power": P4_TRAILING, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}
+P4_PARTITION = _DAILY.format(id="client_id", v="aggregate_w", t="partition_data", more=f"client_id IS NOT NULL AND aggregate_w NOT IN {_STAND_W}")
+
+P2_REGION_MINUTES = """
+WITH n AS (SELECT region_id, "timestamp" AS ts, avg(CASE WHEN NOT isnan(households_consumption_kw) THEN households_consumption_kw END) AS v FROM grid_1min WHERE region_id IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT *, lead(ts) OVER (PARTITION BY region_id ORDER BY ts) AS nx FROM n),
+h AS (SELECT region_id, ts, v, CASE WHEN nx - ts <= INTERVAL 24 HOUR THEN nx END AS nx FROM g),
+c AS (SELECT *, unnest(generate_series(date_trunc('minute', ts), coalesce(date_trunc('minute', nx - INTERVAL 1 MICROSECOND), date_trunc('minute', ts)), INTERVAL 1 MINUTE)) AS slot FROM h),
+o AS (SELECT region_id, slot, v, date_trunc('minute', ts) = slot AS own, CASE WHEN v IS NOT NULL AND nx IS NOT NULL THEN epoch(least(nx, slot + INTERVAL 1 MINUTE) - greatest(ts, slot)) ELSE 0 END AS s FROM c)
+SELECT region_id, slot, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS readings, count(*) FILTER (WHERE own) = 0 AS timestamp_gap, round(CASE WHEN sum(s) > 0 THEN sum(CASE WHEN s > 0 THEN v * s END) / sum(s) END, 9) AS value,
+  count(*) FILTER (WHERE own) = 0 AND sum(s) > 0 AS filled, CAST(sum(s) AS DOUBLE) AS covered_s FROM o GROUP BY 1, 2
+"""
+
+SQL = {"p2_region_minutes": P2_REGION_MINUTES, "p4_trailing_partition": P4_PARTITION, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_trailing_power": P4_TRAILING, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}
