@@ -36,7 +36,7 @@ def profiles_by_segment(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "household_segments").select(canonical_id("client_id").alias("client_id"), "as_of", "snapshot_id", "segment").where("client_id is not null and segment is not null")
     seg = keep_last(s, ["client_id"], F.col("as_of"), F.col("snapshot_id")).select("client_id", "segment")
     x = household_profiles(half_hours(spark, d), seg)
-    return rounded(x.select("client_id", "segment", "annual_kwh", "group_median", "vs_group_pct"), 6)
+    return rounded(x.select("client_id", "segment", "annual_kwh", "group_median", "vs_group_pct"))
 
 
 def stream_half_hours(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ FROM (SELECT region_id, unnest(generate_series(min(slot), max(slot), INTERVAL 30
     "profiles_by_segment": f"""WITH {HALF}, {_SN.format(c="segment", w=" WHERE segment IS NOT NULL")}, dy AS (SELECT client_id, CAST(slot AS DATE) AS day, sum(kw) * 0.5 AS kwh, count(kw) AS n FROM h GROUP BY 1, 2),
 yr AS (SELECT client_id, avg(kwh) * 365 AS annual_kwh FROM dy WHERE n >= 8 GROUP BY 1), x AS (SELECT client_id, segment, annual_kwh FROM sn JOIN (SELECT DISTINCT client_id FROM h) USING (client_id) LEFT JOIN yr USING (client_id)),
 md AS (SELECT segment, quantile_cont(annual_kwh, 0.5) AS m FROM x GROUP BY 1)
-SELECT client_id, segment, round(annual_kwh, 6) AS annual_kwh, round(m, 6) AS group_median, round(CASE WHEN m > 0 THEN (annual_kwh / m - 1) * 100 END, 6) AS vs_group_pct FROM x JOIN md USING (segment)""",
+SELECT client_id, segment, round(annual_kwh, 9) AS annual_kwh, round(m, 9) AS group_median, round(CASE WHEN m > 0 THEN (annual_kwh / m - 1) * 100 END, 9) AS vs_group_pct FROM x JOIN md USING (segment)""",
     "stream_half_hours": """WITH x AS (SELECT user_id, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, avg(value) AS m FROM events GROUP BY 1, 2)
 SELECT user_id, slot, round(m, 9) AS mean, round(m * 0.5, 9) AS energy FROM x WHERE slot + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
     "stream_distinct_events": "SELECT event_type, count(DISTINCT event_id) AS events FROM events GROUP BY 1",

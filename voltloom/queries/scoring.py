@@ -71,7 +71,7 @@ def profile_features(spark: SparkSession, d: str) -> DataFrame:
     """Yearly energy, peak, base load, load factor and evening share; cooling slope on hot days of the region."""
     heat = grid(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("temperature_c"), 6).alias("t"))
     x = half_hours(spark, d).withColumn("day", F.to_date("slot")).join(heat, "day", "left")
-    return rounded(household_features(x, "client_id", "slot", "kw", "t", least_slots=8, hot=15.0, least_days=5), 6)
+    return rounded(household_features(x, "client_id", "slot", "kw", "t", least_slots=8, hot=15.0, least_days=5))
 
 
 def acceptance_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +206,7 @@ def daily_vectors(spark: SparkSession, d: str) -> DataFrame:
     x = resample(grid(spark, d), ["region_id"], "ts", ["households_consumption_kw"], energy=False).where("households_consumption_kw is not null")
     v = F.sort_array(F.collect_list(F.struct(slot_index(F.col("slot")).alias("i"), F.round("households_consumption_kw", 6).alias("v"))))
     y = x.groupBy("region_id", F.to_date("slot").alias("day")).agg(v.alias("a"))
-    return y.select("region_id", "day", F.size("a").alias("slots"), F.element_at("a", 1)["i"].alias("first_slot"), F.element_at("a", -1)["i"].alias("last_slot"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x["v"]), 5).alias("total"))
+    return y.select("region_id", "day", F.size("a").alias("slots"), F.element_at("a", 1)["i"].alias("first_slot"), F.element_at("a", -1)["i"].alias("last_slot"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x["v"]), 9).alias("total"))
 
 
 def text_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +276,7 @@ SELECT *, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)
 dy AS (SELECT client_id, day, sum(kw) * 0.5 AS kwh, count(kw) AS n, avg(t) AS t FROM x GROUP BY 1, 2),
 yr AS (SELECT client_id, avg(kwh) * 365 AS annual_kwh, count(*) AS days, CASE WHEN count(*) FILTER (WHERE t > 15) >= 5 THEN regr_slope(kwh, t) FILTER (WHERE t > 15) END AS cool, count(*) FILTER (WHERE t > 15) AS hot_days FROM dy WHERE n >= 8 GROUP BY 1),
 sh AS (SELECT client_id, quantile_cont(kw, 0.99) AS peak_kw, quantile_cont(kw, 0.05) AS base_load_kw, avg(kw) AS m, sum(CASE WHEN hour(slot) BETWEEN 18 AND 21 THEN kw ELSE 0 END) / nullif(sum(kw), 0) AS evening_share FROM x GROUP BY 1)
-SELECT client_id, round(peak_kw, 6) AS peak_kw, round(base_load_kw, 6) AS base_load_kw, round(evening_share, 6) AS evening_share, round(annual_kwh, 6) AS annual_kwh, days, round(cool, 6) AS cooling_kwh_per_deg, hot_days, round(CASE WHEN peak_kw > 0 THEN m / peak_kw END, 6) AS load_factor FROM sh LEFT JOIN yr USING (client_id)""",
+SELECT client_id, round(peak_kw, 9) AS peak_kw, round(base_load_kw, 9) AS base_load_kw, round(evening_share, 9) AS evening_share, round(annual_kwh, 9) AS annual_kwh, days, round(cool, 9) AS cooling_kwh_per_deg, hot_days, round(CASE WHEN peak_kw > 0 THEN m / peak_kw END, 9) AS load_factor FROM sh LEFT JOIN yr USING (client_id)""",
     "acceptance_rates": f"WITH {EVENTS}, {ANSWERS} SELECT client_id, count(*) AS n_invitations, round(avg(CASE WHEN response = 'accept' THEN 1.0 ELSE 0.0 END), 9) AS acceptance_rate FROM a WHERE client_id IS NOT NULL AND event_id IN (SELECT event_id FROM e WHERE end_ts <= TIMESTAMP '2025-07-01') GROUP BY 1",
     "usual_evening": f"""WITH {HALF}, q(ask_id, as_of, f, t) AS (VALUES (1, DATE '2025-05-01', 36, 44), (2, DATE '2025-07-01', 36, 44), (3, DATE '2025-07-01', 44, 12)), x AS (SELECT client_id, CAST(slot AS DATE) AS day, hour(slot) * 2 + minute(slot) // 30 AS s, kw FROM h)
 SELECT ask_id, client_id, round(sum(CASE WHEN (f <= t AND s >= f AND s < t) OR (f > t AND (s >= f OR s < t)) THEN kw ELSE 0 END) * 0.5 / count(DISTINCT day), 9) AS usual_kwh, count(DISTINCT day) AS days FROM x JOIN q ON day < as_of AND day >= as_of - 28 GROUP BY 1, 2""",
@@ -306,7 +306,7 @@ SELECT round((s - r * c / t) / ((r + c) / 2 - r * c / t), 9) AS ari FROM s, r, c
 y AS (SELECT ts, CAST(CASE WHEN value > round(m, 6) THEN 2 ELSE 0 END + CASE WHEN hour(ts) BETWEEN 17 AND 21 THEN 1 ELSE 0 END + CASE WHEN isodow(ts) <= 5 THEN 1 ELSE 0 END AS INTEGER) AS score FROM x WHERE n = 24) SELECT ts, score, score >= 3 AS candidate FROM y""",
     "event_window_energy": f"WITH {EVENTS}, {GRID} SELECT event_id, count(*) AS readings, count(*) FILTER (WHERE households_consumption_kw IS NULL) AS missing, round(sum(households_consumption_kw) / 60, 9) AS energy_kwh FROM g JOIN e ON g.region_id = e.region_id AND ts >= start_ts AND ts < end_ts GROUP BY 1",
     "eligible_days": f"WITH {_G30} SELECT region_id, CAST(slot AS DATE) AS day, count(kw) AS slots, count(kw) >= 40 AS eligible FROM q GROUP BY 1, 2",
-    "daily_vectors": f"WITH {_G30} SELECT region_id, CAST(slot AS DATE) AS day, CAST(count(*) AS INTEGER) AS slots, CAST(min(hour(slot) * 2 + minute(slot) // 30) AS INTEGER) AS first_slot, CAST(max(hour(slot) * 2 + minute(slot) // 30) AS INTEGER) AS last_slot, round(sum(round(kw, 6)), 5) AS total FROM q WHERE kw IS NOT NULL GROUP BY 1, 2",
+    "daily_vectors": f"WITH {_G30} SELECT region_id, CAST(slot AS DATE) AS day, CAST(count(*) AS INTEGER) AS slots, CAST(min(hour(slot) * 2 + minute(slot) // 30) AS INTEGER) AS first_slot, CAST(max(hour(slot) * 2 + minute(slot) // 30) AS INTEGER) AS last_slot, round(sum(round(kw, 6)), 9) AS total FROM q WHERE kw IS NOT NULL GROUP BY 1, 2",
     "quarter_hours": f"""WITH x AS (SELECT client_id, time_bucket(INTERVAL 15 MINUTE, "timestamp") AS slot, CASE WHEN NOT isnan(aggregate_w) AND aggregate_w NOT IN {_STAND} AND aggregate_w BETWEEN 0 AND 15000 THEN aggregate_w END AS w FROM partition_data)
 SELECT client_id, slot, count(*) AS readings, round(CASE WHEN count(w) = count(*) THEN avg(w) / 1000 END, 9) AS mean_kw FROM x GROUP BY 1, 2""",
     "spike_mask": f"WITH {METERS} SELECT client_id, count(*) FILTER (WHERE kw > 5) AS removed, round(avg(CASE WHEN kw <= 5 THEN kw END), 9) AS mean_kw FROM m GROUP BY 1",
