@@ -28,6 +28,12 @@ def bucket_of(c: Column, points: Sequence[float]) -> Column:
     return tree(0, len(points))
 
 
+def hash_bucket(df: DataFrame, h: str, major: Column, most_bits: int = 20) -> Column:
+    """A bucket that rises with ``major`` (an int) and, within it, with the hash ``h``: at least 64 pieces, more where the session has more shuffle partitions."""
+    bits = min(most_bits, max(6, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+    return major.cast("bigint") * (1 << bits) + F.shiftright(h, 64 - bits)
+
+
 def running_totals(df: DataFrame, group: str, bucket: str, order: Sequence[str], weight: str) -> DataFrame:
     """Adds ``upto`` (the group's sum of ``weight`` up to and with the row) and ``whole`` (the group's sum).
 
