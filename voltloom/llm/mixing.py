@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.operators.ordering import running_totals
+from voltloom.operators.ordering import hash_bucket, running_totals
 
 
 def board(c: Column) -> Column:
@@ -53,7 +53,8 @@ def mix(docs: DataFrame, doc: Column, source: Column, size: Column, plan: DataFr
     x = x.join(F.broadcast(own.drop("documents")) if few else own.drop("documents"), "source")
     passes = F.least(F.col("most"), F.ceil(F.col("share") * total / F.greatest(F.col("once"), F.lit(1))).cast("int") + 1)
     x = x.withColumn("repeat", F.explode(F.when(passes > 0, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>"))))
-    x = x.where("share > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "repeat")).withColumn("bucket", F.col("repeat") * 64 + F.shiftright("h", 58).cast("int"))
+    x = x.where("share > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "repeat"))
+    x = x.withColumn("bucket", hash_bucket(x, "h", F.col("repeat")))
     x = running_totals(x, "source", "bucket", ["h", "doc_id"], "size")
     x = x.withColumn("finish", F.col("upto") / F.col("share")).where((F.col("upto") - F.col("size") / 2) / F.col("share") <= total)
     mixture = x.select("doc_id", F.col("name").alias("source"), "repeat", "size", "finish").repartitionByRange("finish").sortWithinPartitions("finish", "doc_id")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltloom.operators.joins import spread_join
-from voltloom.operators.ordering import running_totals
+from voltloom.operators.ordering import hash_bucket, running_totals
 from voltloom.session import checkpoint_folder, cut
 
 
@@ -89,7 +89,7 @@ def deal(homes: DataFrame, targets: dict[str, float]) -> DataFrame:
     small = x.where(F.col("records") * 200 <= F.lit(total))
     small = small.withColumn("h", F.xxhash64("home")).withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
     band = -F.floor(F.log2(F.greatest(F.col("records"), F.lit(1)))).cast("int")
-    small = small.withColumn("bucket", band * 64 + F.shiftright(F.col("h"), 58).cast("int"))
+    small = small.withColumn("bucket", hash_bucket(small, "h", band))
     ranked = running_totals(small, "all", "bucket", ["h", "home"], "one")
     u = F.col("upto") * F.lit(0.6180339887498949)
     u = u - F.floor(u)
