@@ -16,12 +16,22 @@ def split_points(df: DataFrame, value: str, pieces: int) -> list[float]:
     return sorted({x for x in found if x is not None})
 
 
-def bucket_of(c: Column, points: Sequence[float]) -> Column:
-    """Number of points at or below the value, as a balanced tree of comparisons."""
+def bucket_of(c: Column, points: Sequence[float], each: int = 1) -> Column:
+    """A bucket that rises with the value: the number of points at or below it, by a balanced tree of comparisons.
+
+    each: pieces of equal width into which the range between two points is cut again.
+    """
+
+    def leaf(i: int) -> Column:
+        if each == 1 or not 0 < i < len(points):
+            return F.lit(i * each)
+        lo, hi = points[i - 1], points[i]
+        part = F.floor((c - lo) / (hi - lo) * each).cast("int")
+        return F.lit(i * each) + F.greatest(F.least(part, F.lit(each - 1)), F.lit(0))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            return leaf(lo)
         mid = (lo + hi) // 2
         return F.when(c < F.lit(points[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 

@@ -15,6 +15,7 @@ hot the source is, and the cells are summed where the block already lies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -56,8 +57,7 @@ def regular_grid(
     if kind not in ("gauge", "counter"):
         raise ValueError(f"kind must be gauge or counter, not {kind}")
     cell, gap = cell_s * MICROS, max_gap_s * MICROS
-    block = -(-max(DAY_US, gap) // (DAY_US * 1)) * DAY_US
-    block = block if block % cell == 0 else block * cell_s
+    block = math.lcm(DAY_US * -(-max(DAY_US, gap) // DAY_US), cell)  # whole days and whole cells
     k = [f"_k{i}" for i in range(len(keys))]
     v = F.lit(None).cast("double") if value is None else F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], micros(ts).alias("_t"), v.alias("_v"))

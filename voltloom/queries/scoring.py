@@ -154,7 +154,7 @@ def nearest_label(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings by the nearest of ten label centroids."""
     x = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     mean = x.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    rows = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")).orderBy("label").limit(64).collect()
+    rows = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")).orderBy("label").collect()  # a row a label
     y = models.nearest_centroid(x, "v", [r["c"] for r in rows])
     return y.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("vectors"))
 
