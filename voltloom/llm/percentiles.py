@@ -53,7 +53,8 @@ def percentiles(counts: DataFrame, percents: Sequence[float] = (0.5,), *, name:
     one sign the result is infinite; an empty table gives an empty result.
     """
     pieces = pieces or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = counts.withColumn("_bucket", bucket_of(F.col("v"), split_points(counts, "v", pieces)))
+    finite = [p for p in split_points(counts, "v", min(pieces, 256)) if math.isfinite(p)]  # a tree of that size stays compiled code
+    x = counts.withColumn("_bucket", bucket_of(F.col("v"), finite, -(-pieces // 256)))
     x = running_totals(x, "g", "_bucket", ["v"], "c")
     at = F.array(*[F.struct(F.lit(float(q)).alias("q"), ((F.col("whole") - 1) * F.lit(float(q))).alias("h")) for q in percents])
     inside = lambda p: (F.col("upto") - F.col("c") <= p) & (p < F.col("upto"))

@@ -52,9 +52,10 @@ def p1_segment_evening_merged(spark: SparkSession, d: str) -> DataFrame:
 
 def _homes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(client_id, home, split, records) and (client_id, home) of every household with a record."""
-    a = read(spark, d, "partition_data").select(canonical_id("client_id").alias("client_id"), split_name("split").alias("split"))
-    b = read(spark, d, "validation_windows").select(canonical_id("client_id").alias("client_id"), F.lit("validation").alias("split"))
-    rows = a.unionByName(b).where("client_id is not null").groupBy("client_id", "split").agg(F.count(F.lit(1)).alias("records"))
+    a = read(spark, d, "partition_data").select("client_id", split_name("split").alias("split"))
+    b = read(spark, d, "validation_windows").select("client_id", F.lit("validation").alias("split"))
+    rows = a.unionByName(b).groupBy("client_id", "split").agg(F.count(F.lit(1)).alias("records"))
+    rows = rows.groupBy(canonical_id("client_id").alias("client_id"), "split").agg(F.sum("records").alias("records")).where("client_id is not null")
     swaps = read(spark, d, "meter_swaps")
     comp, _, _ = spanning_forest(swaps, canonical_id("old_client_id"), canonical_id("new_client_id"), F.col("swapped_on"))
     return cut(homes_of(rows, comp)), comp
@@ -71,7 +72,7 @@ def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
     """One split per household, the same for its whole home."""
     rows, _ = _homes(spark, d)
     homes = rows.groupBy("home").agg(F.sum("records").alias("records"))
-    targets = {r["split"]: r["share"] for r in read(spark, d, "split_targets").limit(100).collect()}
+    targets = {r["split"]: r["share"] for r in read(spark, d, "split_targets").collect()}  # a row a split
     dealt = deal(homes, targets)
     return rows.groupBy("client_id", "home").agg(F.sum("records").alias("records")).join(dealt, "home").select("client_id", "home", "records", "split")
 
