@@ -5,8 +5,9 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from voltloom.operators.imputation import fill_power, fill_temperature
+from voltloom.operators.imputation import fill_power, fill_snapshots, fill_temperature
 from voltloom.operators.mixture import fill_gaps, fit_mixture
 
 SCHEMA = "x double, y double, c int, m0 string, w string, x_filled string"
@@ -86,3 +87,22 @@ def test_temperature_follows_its_region_and_day(spark):
     assert set(got) == {5, 18}
     assert abs(got[5] - 14.5) < 1.5 and abs(got[18] - 27.5) < 1.5
     assert fill_temperature(df.limit(0), components=2, iterations=1).count() == 0
+
+
+def test_snapshots_get_their_likely_segment(spark):
+    schema = "snapshot_id long, segment string, usual_evening_kwh double, annual_kwh double, peak_kw double, base_load_kw double, evening_share double, code int"
+    r = random.Random(2)
+    rows = []
+    for i in range(600):
+        big = i % 2
+        size = r.uniform(0.9, 1.1) * (40 if big else 2)
+        rows.append((i, "big" if big else "small", size, size * 900, size / 2, 0.1, 0.3, 1))
+    lost = [(1000, None, 40.0, 36000.0, 20.0, 0.1, 0.3, 1), (1001, "small", None, 1800.0, 1.0, 0.1, 0.3, 1), (1002, None, float("nan"), 1800.0, 1.0, None, 0.3, 1)]
+    df = spark.createDataFrame(rows + rows[:5] + lost + lost[:1], schema)
+    got = {x.snapshot_id: x for x in fill_snapshots(df, components=2, iterations=6).collect()}
+    assert len(got) == 603
+    assert (got[1000].segment, got[1000].segment_imputed, got[1000].evening_imputed) == ("big", True, False)
+    assert got[1001].evening_imputed and 1.5 < got[1001].usual_evening_kwh < 3
+    assert (got[1002].segment, got[1002].segment_imputed) == ("small", True) and not got[0].segment_imputed
+    assert fill_snapshots(df.limit(0), components=2, iterations=1).count() == 0
+    assert fill_snapshots(df.withColumn("segment", F.lit(None).cast("string")), components=2, iterations=2).where("segment is not null").count() == 0

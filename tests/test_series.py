@@ -12,8 +12,9 @@ from voltloom.operators import models
 from voltloom.operators.fill import backward_fill, forward_fill, interpolate
 from voltloom.operators.intervals import best_overlap, mark
 from voltloom.operators.islands import equal_runs, risk_windows
-from voltloom.operators.joins import spread_join
+from voltloom.operators.joins import lookup_join, spread_join
 from voltloom.operators.metrics import adjusted_rand, confusion, forecast_errors
+from voltloom.operators.ordering import bucket_of, hash_bucket, running_totals
 from voltloom.operators.profile import savings, usual_window
 from voltloom.operators.recommend import spaced_top, window_around_peak
 from voltloom.operators.series import history_median, rank_quartile
@@ -137,3 +138,29 @@ def test_ids_splits_and_text(spark):
     t = spark.createDataFrame([("How’s my BILL?", "fr", datetime(2025, 1, 1, 18, 5), 3.14159)], "t string, l string, d timestamp_ntz, v double")
     got = t.select(normalised_text(F.col("t")), find_keyword(F.col("t"), {"tariff": ["tar"], "bill": ["bill"]}, "other"), format_time(F.col("d"), F.col("l")), format_number(F.col("v"), 2, F.col("l"))).first()
     assert tuple(got) == (" how's my bill ", "bill", "18h05", "3,14")
+
+
+def test_buckets_rise_with_the_value(spark):
+    df = spark.range(0, 1000).select(((F.col("id") * 37) % 1000 / 10).alias("v"))
+    for points, each in (([], 1), ([5.0], 1), ([10.0, 20.0, 80.0], 1), ([10.0, 20.0, 80.0], 7)):
+        b = [r.b for r in df.withColumn("b", bucket_of(F.col("v"), points, each)).orderBy("v").collect()]
+        assert b == sorted(b)
+        assert len(set(b)) == len(points) + 1 + max(len(points) - 1, 0) * (each - 1)
+
+
+def test_running_totals_equal_a_plain_sum(spark):
+    df = spark.range(0, 500).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h"), (F.col("id") % 7).alias("w"), F.lit(0).alias("m"))
+    x = df.withColumn("b", hash_bucket(df, "h", F.col("m")))
+    rows = running_totals(x, "g", "b", ["h"], "w").orderBy("g", "h").collect()
+    seen = {}
+    for r in rows:
+        seen[r.g] = seen.get(r.g, 0) + r.w
+        assert r.upto == seen[r.g]
+    assert all(r.whole == seen[r.g] for r in rows)
+
+
+def test_lookups_beyond_the_bound_give_the_same(spark):
+    a = spark.createDataFrame([(i % 4, i) for i in range(40)] + [(None, 1)], "k int, v int")
+    b = spark.createDataFrame([(0, "x"), (1, "y"), (9, "z")], "k int, w string")
+    few, many = (sorted(map(str, lookup_join(a, b, ["k"], most_rows=n).select("k", "v", "w").collect())) for n in (10, 1))
+    assert few == many and len(few) == 41

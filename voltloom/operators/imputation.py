@@ -73,3 +73,30 @@ def fill_temperature(grid: DataFrame, *, components: int = 5, iterations: int =
     gaps = lookup_join(rec.where("not known"), level, ["region_id", "day"]).select("region_id", "ts", F.lit(None).cast("double").alias("temp"), "level", "load", "sun", "band")
     filled = fill_gaps(gaps, model, numbers, ["band"])
     return filled.select(F.col("region_id").alias("source_key"), "ts", F.lit("temperature_c").alias("field"), F.col("temp").alias("value"))
+
+
+def fill_snapshots(snapshots: DataFrame, *, components: int = 6, iterations: int = 8) -> DataFrame:
+    """snapshot_id, segment, segment_imputed, usual_evening_kwh, evening_imputed: unknown segments and evening usage filled from similar snapshots.
+
+    Similar by usage, peak, base load and evening share (log scale) and by segment. The
+    segment, a category, is filled with its most likely name. Defined cases: repeated rows
+    count once; without any named segment the segments stay null; NaN and infinite values
+    are unknown; an empty table gives an empty result.
+    """
+    names = [r[0] for r in snapshots.where("segment is not null").select("segment").distinct().orderBy("segment").collect()]  # a row a segment
+    known = lambda c: F.when(~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < 1e12), F.log1p(c))
+    numbers = ["evening", "annual", "peak", "base", "share"]
+    columns = ["usual_evening_kwh", "annual_kwh", "peak_kw", "base_load_kw", "evening_share"]
+    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("segment")) - 1 if names else F.lit(None)
+    x = snapshots.select("snapshot_id", *[known(c).alias(n) for n, c in zip(numbers, columns, strict=True)], code.cast("int").alias("code")).distinct()
+    cats, sizes = (["code"], [len(names)]) if names else ([], [])
+    model = fit_mixture(x, numbers, [0.25, 0.25, 0.25, 0.05, 0.05], cats, sizes, components=components, iterations=iterations)
+    open_ = F.col("evening").isNull() | (F.col("code").isNull() if names else F.lit(False))
+    marks = [F.lit(False).alias(f"{c}_filled") for c in ("evening", *cats)]
+    whole = x.where(~open_).select("snapshot_id", "evening", "code", *marks)
+    filled = fill_gaps(x.where(open_), model, numbers, cats).select("snapshot_id", "evening", "code", *[f"{c}_filled" for c in ("evening", *cats)])
+    y = whole.unionByName(filled)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("code") + 1) if names else F.lit(None).cast("string")
+    return y.select(
+        "snapshot_id", name.alias("segment"), (F.col("code_filled") if names else F.lit(False)).alias("segment_imputed"), F.greatest(F.expm1("evening"), F.lit(0.0)).alias("usual_evening_kwh"), F.col("evening_filled").alias("evening_imputed")
+    )

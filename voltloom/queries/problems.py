@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltloom.functions.columns import POWER_STAND_INS, canonical_id, measured
 from voltloom.operators.implausible import implausible_readings
-from voltloom.operators.imputation import POWER_FIELDS, fill_power, fill_temperature, power_columns
+from voltloom.operators.imputation import POWER_FIELDS, fill_power, fill_snapshots, fill_temperature, power_columns
 from voltloom.operators.orphans import count_orphans, life_spans, orphan_references
 from voltloom.operators.regular_grid import regular_grid
 from voltloom.operators.trailing import trailing_totals
@@ -48,6 +48,11 @@ def p3_filled(spark: SparkSession, d: str) -> DataFrame:
     return power.unionByName(heat)
 
 
+def p3_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots with unknown segments and evening usage filled."""
+    return fill_snapshots(read(spark, d, "household_segments"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Days without a measured reading, between the first and the last day with one."""
     return p4_trailing_power(spark, d).where("readings = 0").select(F.col("entity").alias("client_id"), F.date_format("day", "yyyy-MM-dd").alias("day"))
@@ -99,4 +104,4 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_orphans(_p7(spark, d), "src_table", "ref_field")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_region_minutes, p3_found, p3_filled, p4_found, p4_trailing_power, p4_trailing_partition, p6_found, p6_flagged, p7_found, p7_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_region_minutes, p3_found, p3_filled, p3_snapshots, p4_found, p4_trailing_power, p4_trailing_partition, p6_found, p6_flagged, p7_found, p7_counts)}
