@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,23 +28,29 @@ def backward_fill(value: Column, keys: Sequence[str], order: str) -> Column:
     return F.last(value, ignorenulls=True).over(_after(keys, order))
 
 
+def interpolations(df: DataFrame, keys: Sequence[str], order: str, value: str, outs: Mapping[str, tuple[int | None, bool]], *, edges: bool = False) -> DataFrame:
+    """Adds one column per entry of ``outs`` (name: limit, whole_gap_only), all from the same two passes over the series; see ``interpolate``."""
+    t = micros(order).cast("double")
+    x = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    known = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).alias("v"), F.col("_i").alias("i")))
+    x = x.withColumn("_p", F.last(known, ignorenulls=True).over(_before(keys, order))).withColumn("_n", F.last(known, ignorenulls=True).over(_after(keys, order)))
+    line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (t - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
+    inside = F.col("_p").isNotNull() & F.col("_n").isNotNull()
+    cols = []
+    for name, (limit, whole_gap_only) in outs.items():
+        place = F.col("_n.i") - F.col("_p.i") - 1 if whole_gap_only else F.col("_i") - F.col("_p.i")
+        can = inside if limit is None else inside & (place <= limit)
+        filled = F.coalesce(F.col(value), F.when(can, line))
+        if edges:
+            filled = F.coalesce(filled, F.when(F.col("_p").isNull(), F.col("_n.v")), F.when(F.col("_n").isNull(), F.col("_p.v")))
+        cols.append(filled.alias(name))
+    return x.select(*df.columns, *cols)
+
+
 def interpolate(df: DataFrame, keys: Sequence[str], order: str, value: str, *, limit: int | None = None, whole_gap_only: bool = False, edges: bool = False, out: str = "filled") -> DataFrame:
     """Adds ``out``: nulls between two known values filled linearly in time.
 
     limit: at most so many successive nulls are filled, also the first ones of a longer
     gap, unless whole_gap_only. edges: leading and trailing nulls take the nearest value.
     """
-    t = micros(order).cast("double")
-    known = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).alias("v")))
-    x = df.withColumn("_p", F.last(known, ignorenulls=True).over(_before(keys, order))).withColumn("_n", F.last(known, ignorenulls=True).over(_after(keys, order)))
-    line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (t - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
-    can = F.col("_p").isNotNull() & F.col("_n").isNotNull()
-    if limit is not None:
-        x = x.withColumn("_g", F.count(value).over(_before(keys, order)))
-        gap = Window.partitionBy(*keys, "_g").orderBy(order)
-        x = x.withColumn("_i", F.count(F.when(F.col(value).isNull(), 1)).over(gap)).withColumn("_l", F.count(F.when(F.col(value).isNull(), 1)).over(Window.partitionBy(*keys, "_g")))
-        can = can & (F.col("_l" if whole_gap_only else "_i") <= limit)
-    filled = F.coalesce(F.col(value), F.when(can, line))
-    if edges:
-        filled = F.coalesce(filled, F.when(F.col("_p").isNull(), F.col("_n.v")), F.when(F.col("_n").isNull(), F.col("_p.v")))
-    return x.withColumn(out, filled).drop("_p", "_n", "_g", "_i", "_l")
+    return interpolations(df, keys, order, value, {out: (limit, whole_gap_only)}, edges=edges)

@@ -252,6 +252,13 @@ _G30 = GRID + """, ga AS (SELECT region_id, time_bucket(INTERVAL 30 MINUTE, ts)
 sp AS (SELECT region_id, unnest(generate_series(min(slot), max(slot), INTERVAL 30 MINUTE)) AS slot FROM ga GROUP BY 1), q AS (SELECT * FROM sp LEFT JOIN ga USING (region_id, slot))"""
 
 SQL = {
+    "recommended_windows": f"""WITH {DAILY}, x AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, day AS s, round(-margin, 2) AS size FROM d WHERE margin < 0), a AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY month ORDER BY size DESC, s) = 1),
+b AS (SELECT x.* FROM x JOIN a ON x.month = a.month AND abs(date_diff('day', x.s, a.s)) >= 2 QUALIFY row_number() OVER (PARTITION BY x.month ORDER BY x.size DESC, x.s) = 1)
+SELECT month, CAST(1 AS INTEGER) AS rank, s AS start, s + INTERVAL 1 DAY AS "end", size FROM a UNION ALL SELECT month, CAST(2 AS INTEGER), s, s + INTERVAL 1 DAY, size FROM b""",
+    "nearest_label": """WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT label, i, avg(v[i]) AS c FROM x, range(1, 65) r(i) GROUP BY 1, 2), k AS (SELECT list(c ORDER BY i) AS c, row_number() OVER (ORDER BY label) - 1 AS cluster FROM m GROUP BY label),
+d AS (SELECT vec_id, label, cluster FROM x, k QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c), cluster) = 1) SELECT label, CAST(cluster AS INTEGER) AS cluster, count(*) AS vectors FROM d GROUP BY 1, 2""",
+    "text_lookup": """WITH x AS (SELECT ' ' || trim(regexp_replace(translate(lower(coalesce(text, '')), '’‘´`', repeat(chr(39), 4)), '[^\\p{L}\\p{M}\\p{Nd}'']+', ' ', 'g')) || ' ' AS t FROM documents)
+SELECT CASE WHEN contains(t, ' meter ') THEN 'meter' WHEN contains(t, ' bill ') THEN 'bill' WHEN contains(t, ' tariff ') THEN 'tariff' ELSE 'other' END AS topic, count(*) AS posts FROM x GROUP BY 1""",
     "forecast_metrics": f"""WITH {PAIRS}, i AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY slot) AS j FROM pr),
 x AS (SELECT client_id, count(*) AS slots, avg(abs(predicted - kw)) AS mae, sqrt(avg((predicted - kw) * (predicted - kw))) AS rmse, sum(abs(predicted - kw)) AS ae, sum(abs(kw)) AS aa, sum(predicted - kw) * 0.5 AS eb, sum(kw) * 0.5 AS ea, max(kw) AS pa, max(predicted) AS pp FROM i GROUP BY 1),
 t AS (SELECT i.client_id, min(j) FILTER (WHERE kw = pa) AS ja, min(j) FILTER (WHERE predicted = pp) AS jp FROM i JOIN x ON i.client_id = x.client_id GROUP BY 1)

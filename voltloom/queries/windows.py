@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltloom.functions.columns import POWER_STAND_INS, measured
-from voltloom.operators.fill import backward_fill, forward_fill, interpolate
+from voltloom.operators.fill import backward_fill, forward_fill, interpolations
 from voltloom.operators.islands import equal_runs, risk_windows, run_windows, true_runs
 from voltloom.operators.series import (
     centered_mean,
@@ -111,9 +111,7 @@ def filled_series(spark: SparkSession, d: str) -> DataFrame:
     """Hourly household means filled forward, backward, linearly, and linearly for at most three hours."""
     x = _hourly(spark, d)
     x = x.withColumn("forward", forward_fill(F.col("kw"), ["client_id"], "slot")).withColumn("backward", backward_fill(F.col("kw"), ["client_id"], "slot"))
-    x = interpolate(x, ["client_id"], "slot", "kw", out="linear")
-    x = interpolate(x, ["client_id"], "slot", "kw", limit=3, out="linear_3")
-    return rounded(interpolate(x, ["client_id"], "slot", "kw", limit=3, whole_gap_only=True, out="linear_short"))
+    return rounded(interpolations(x, ["client_id"], "slot", "kw", {"linear": (None, False), "linear_3": (3, False), "linear_short": (3, True)}))
 
 
 def forward_durations(spark: SparkSession, d: str) -> DataFrame:
