@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltloom.functions.columns import CONNECTION_LIMIT_W, POWER_STAND_INS, measured
 from voltloom.operators.fill import forward_fill
 from voltloom.operators.timegrid import calendar, deficit, densify, heatmap, kilowatts, resample, resample_covered, slot_start, supply_margin
 from voltloom.queries.common import FLAGS, GRID, HALF, METERS, POWERS, grid, half_hours, meters, rounded
@@ -84,8 +85,11 @@ def hourly_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "partition_data").where("not isnan(aggregate_w) or aggregate_w is null")
-    return rounded(x.groupBy("client_id").agg((F.sum("aggregate_w") / 60000).alias("energy_kwh"), (F.sum("aggregate_w") / F.nullif(F.count("aggregate_w"), F.lit(0)) / 1000).alias("mean_kw"), (F.max("aggregate_w") / 1000).alias("peak_kw"), F.count("aggregate_w").alias("valid"), F.count(F.lit(1)).alias("rows")).where("abs(energy_kwh) < 1e300"))
+    """Every household: energy, mean and peak of its possible readings, how many those are, and all its rows. Without any, the three values are null."""
+    m = measured(F.col("aggregate_w"), POWER_STAND_INS)
+    w = F.when((m >= 0) & (m <= CONNECTION_LIMIT_W), m)
+    x = read(spark, d, "partition_data").select("client_id", w.alias("w"))
+    return rounded(x.groupBy("client_id").agg((F.sum("w") / 60000).alias("energy_kwh"), (F.avg("w") / 1000).alias("mean_kw"), (F.max("w") / 1000).alias("peak_kw"), F.count("w").alias("valid"), F.count(F.lit(1)).alias("rows")))
 
 
 def seasonal_energy(spark: SparkSession, d: str) -> DataFrame:
