@@ -1,8 +1,11 @@
 """Queries over small tables on which a cut would show."""
 
+from datetime import datetime, timedelta
+
 import __spark_entry__ as entry
 
 QUERIES = entry.queries()
+T0 = datetime(2025, 6, 1)
 
 
 def saved(spark, folder, table, rows, schema):
@@ -15,3 +18,13 @@ def test_portfolio_keeps_every_household(spark, tmp_path):
     saved(spark, tmp_path, "partition_data", [(k, w) for k, ws in readings.items() for w in ws], "client_id string, aggregate_w double")
     got = {r["client_id"]: (r["energy_kwh"], r["mean_kw"], r["peak_kw"], r["valid"], r["rows"]) for r in QUERIES["portfolio_summary"](spark, str(tmp_path)).collect()}
     assert got == {"a": (0.03, 0.9, 1.2, 2, 4), "b": (None, None, None, 0, 2), "c": (0.005, 0.3, 0.3, 1, 5), "d": (1.666666667, 100.0, 100.0, 1, 4)}
+
+
+def test_natural_days_look_at_their_own_region(spark, tmp_path):
+    grid = [(T0 + timedelta(days=i, hours=h), k, 20.0, 0, 0, 10.0 * (i + 1) + h, 1.0, 1.0, 0, 0) for k in ("r1", "r2") for i in range(3) for h in (0, 2)]
+    schema = "timestamp timestamp_ntz, region_id string, temperature_c double, is_holiday int, is_ramadan int, households_consumption_kw double, steg_production_kw double, pv_production_kw double, is_dr_event int, is_dr_peak int"
+    saved(spark, tmp_path, "grid_1min", grid, schema)
+    events = [(1, "r1", T0 + timedelta(hours=20), T0 + timedelta(hours=26)), (2, "r2", T0 + timedelta(days=2), T0 + timedelta(days=2, hours=1)), (3, "r3", T0, T0 + timedelta(days=2))]
+    saved(spark, tmp_path, "dr_events", events, "event_id int, region_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = {(r["region_id"], r["date"].day): r["mean_kw"] for r in QUERIES["natural_day_energy"](spark, str(tmp_path)).collect()}
+    assert got == {("r1", 3): 31.0, ("r2", 1): 11.0, ("r2", 2): 21.0}

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def natural_days(df: DataFrame, day: str, event_days: DataFrame) -> DataFrame:
-    """Without the days that an event touches (anti-join on the date)."""
-    return df.join(event_days.select(F.col(day)).distinct(), day, "left_anti")
+def natural_days(df: DataFrame, day: str, event_days: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Without the days that an event (of the same keys) touches (anti-join on keys and date)."""
+    return df.join(event_days.select(*keys, F.col(day)).distinct(), [*keys, day], "left_anti")
 
 
-def event_days(events: DataFrame, start: str, end: str, name: str = "date") -> DataFrame:
-    """Every date touched by an event."""
-    return events.select(F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias(name)).distinct()
+def event_days(events: DataFrame, start: str, end: str, name: str = "date", keys: Sequence[str] = ()) -> DataFrame:
+    """Every date touched by an event (per keys)."""
+    return events.select(*keys, F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias(name)).distinct()
 
 
 def household_features(slots: DataFrame, client: str, ts: str, kw: str, temperature: str | None = None, *, hours: float = 0.5, least_slots: int = 40, hot: float = 24.0, least_days: int = 10) -> DataFrame:

@@ -97,11 +97,11 @@ def submeter_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def natural_day_energy(spark: SparkSession, d: str) -> DataFrame:
-    """Region-days without any event, and their mean load."""
+    """Region-days without any event of their own region, and their mean load."""
     days = _events(spark, d)
     x = grid(spark, d).withColumn("date", F.to_date("ts"))
-    touched = event_days(days, "start_ts", "end_ts")
-    return rounded(natural_days(x, "date", touched).groupBy("region_id", "date").agg(F.avg("households_consumption_kw").alias("mean_kw")))
+    touched = event_days(days, "start_ts", "end_ts", keys=["region_id"])
+    return rounded(natural_days(x, "date", touched, ["region_id"]).groupBy("region_id", "date").agg(F.avg("households_consumption_kw").alias("mean_kw")))
 
 
 def intervention_days(spark: SparkSession, d: str) -> DataFrame:
