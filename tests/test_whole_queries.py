@@ -28,3 +28,10 @@ def test_natural_days_look_at_their_own_region(spark, tmp_path):
     saved(spark, tmp_path, "dr_events", events, "event_id int, region_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
     got = {(r["region_id"], r["date"].day): r["mean_kw"] for r in QUERIES["natural_day_energy"](spark, str(tmp_path)).collect()}
     assert got == {("r1", 3): 31.0, ("r2", 1): 11.0, ("r2", 2): 21.0}
+
+
+def test_spikes_start_above_fifteen_kilowatts(spark, tmp_path):
+    readings = [("C1", 2000.0), ("C1", 8000.0), ("c-1", 15_000.0), ("C1", 15_001.0), ("C2", 90_000.0)]
+    saved(spark, tmp_path, "households_1min_c001_c025", [(T0 + timedelta(minutes=i), k, w) for i, (k, w) in enumerate(readings)], "timestamp timestamp_ntz, client_id string, aggregate_power_w double")
+    got = {r["client_id"]: (r["removed"], r["mean_kw"]) for r in QUERIES["spike_mask"](spark, str(tmp_path)).collect()}
+    assert got == {"C1": (1, 8.333333333), "C2": (1, None)}

@@ -18,6 +18,9 @@ from voltloom.queries.common import DAILY, FEEDER, GRID, HALF, METERS, daily, fe
 from voltloom.queries.joins import ANSWERS, EVENTS, HOMES, SNAPS, _answers, _homes, _one_event
 from voltloom.sources.tables import read
 
+# Fixed value: kilowatts above which an exported reading is a spike.
+SPIKE_KW = 15.0
+
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """client_id, day, slot, kw, predicted: half hours with a reading seven days earlier."""
@@ -229,7 +232,7 @@ def quarter_hours(spark: SparkSession, d: str) -> DataFrame:
 def spike_mask(spark: SparkSession, d: str) -> DataFrame:
     """Readings above 15 kW removed and counted, mean of the rest."""
     kw = F.col("kw")
-    return rounded(meters(spark, d).groupBy("client_id").agg(F.count_if(kw > 5).alias("removed"), F.avg(F.when(kw <= 5, kw)).alias("mean_kw")))
+    return rounded(meters(spark, d).groupBy("client_id").agg(F.count_if(kw > SPIKE_KW).alias("removed"), F.avg(F.when(kw <= SPIKE_KW, kw)).alias("mean_kw")))
 
 
 QUERIES = {
