@@ -54,3 +54,11 @@ def test_cases(spark):
     assert len(only) == len(JUNK) and not any(x.prose for x in only)
     long = grade(text_statistics(frame(spark, [" ".join(PROSE) * 300, "x" * 300_000]), "id", "text")).orderBy("id").collect()
     assert long[0].words > 25_000 and [x.prose for x in long] == [True, False]
+
+
+@pytest.mark.parametrize("copies", [1, 18, 40])
+def test_flags_do_not_depend_on_the_share_of_junk(spark, copies):
+    parts = "shunt gasket breaker bracket rail busbar relay fuse sensor clamp valve washer flange bolt spool"
+    texts = [t for t in PROSE if t.isascii() and "Je " not in t] * 7 + [f"{parts} and {parts} with"] * copies
+    got = [x.prose for x in grade(text_statistics(frame(spark, texts), "id", "text")).orderBy("id").collect()]
+    assert got == [True] * (len(texts) - copies) + [False] * copies

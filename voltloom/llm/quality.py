@@ -5,7 +5,9 @@ each language a mergeable quantile sketch (KLL) of each statistic is built; a do
 value becomes a robust z-score, its distance from the language's median in units of the
 interquartile range, and a percentile. A document in the far tail of a statistic is
 flagged where the value is also far from prose in absolute terms: the absolute bound
-keeps a narrow distribution from flagging what is merely unusual.
+keeps a narrow distribution from flagging what is merely unusual. For flagging, median
+and range are those of the documents within all absolute bounds, so that a document's
+flag does not depend on how much junk the corpus holds.
 
 Scale: one pass builds the sketches (a few kilobytes a language, merged on the map
 side); the five or six sketch rows are broadcast to the second pass.
@@ -13,6 +15,9 @@ side); the five or six sketch rows are broadcast to the second pass.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +94,26 @@ def text_statistics(df: DataFrame, doc: str, text: str) -> DataFrame:
 MEASURES = ("words", "mean_word_length", "symbol_share", "end_punct_share", "common_share", "distinct_common", "digit_share", "running_share")
 
 
+def _beyond(m: str) -> Column:
+    """Whether the statistic passes its absolute bound."""
+    side, _, bound, _ = TAILS[m]
+    enough = F.col("words") >= 20 if m == "distinct_common" else F.lit(True)  # a short reply may have one common word
+    return enough & ((F.col(m) - bound) * side > 0)
+
+
 def sketches(stats: DataFrame, *parts: Column) -> DataFrame:
-    """One row per language (and part): a KLL sketch of every statistic. Those of several parts merge with merge_sketches."""
-    return stats.groupBy(*parts, "language").agg(F.count(F.lit(1)).alias("documents"), *[F.kll_sketch_agg_double(F.col(m).cast("double")).alias(f"k_{m}") for m in MEASURES])
+    """One row per language (and part): a KLL sketch of every statistic, and for the tails one of the documents within all bounds. Those of several parts merge with merge_sketches."""
+    within = ~reduce(or_, [_beyond(m) for m in TAILS])
+    kll = lambda c: F.kll_sketch_agg_double(c.cast("double"))
+    return stats.groupBy(*parts, "language").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(within).alias("within"),
+        *[kll(F.col(m)).alias(f"k_{m}") for m in MEASURES], *[kll(F.when(within, F.col(m))).alias(f"w_{m}") for m in TAILS],
+    )
 
 
 def merge_sketches(parts: DataFrame, *by: str) -> DataFrame:
-    return parts.groupBy(*by).agg(F.sum("documents").alias("documents"), *[F.kll_merge_agg_double(f"k_{m}").alias(f"k_{m}") for m in MEASURES])
+    held = [*[f"k_{m}" for m in MEASURES], *[f"w_{m}" for m in TAILS]]
+    return parts.groupBy(*by).agg(F.sum("documents").alias("documents"), F.sum("within").alias("within"), *[F.kll_merge_agg_double(k).alias(k) for k in held])
 
 
 def grade(stats: DataFrame, table: DataFrame | None = None) -> DataFrame:
@@ -104,7 +122,8 @@ def grade(stats: DataFrame, table: DataFrame | None = None) -> DataFrame:
     table: sketches per language (None: those of ``stats``). Documents of a language without
     a sketch, or of no language, are measured against all languages together.
     Defined cases: a document without any common word (so also one without words) is not
-    prose, whatever the others are; equal statistics give a z of zero.
+    prose, whatever the others are; equal statistics give a z of zero; in a language without
+    a document within all bounds the bounds alone decide.
     """
     if table is None:
         stats = cut(stats)  # read twice: the texts are parsed once
@@ -112,16 +131,17 @@ def grade(stats: DataFrame, table: DataFrame | None = None) -> DataFrame:
     known = table
     pooled = merge_sketches(known.where("language <> 'und'").withColumn("all", F.lit("und")), "all").withColumnRenamed("all", "language")
     known = known.where("language <> 'und'").unionByName(pooled)
-    q = lambda m, p: F.kll_sketch_get_quantile_double(f"k_{m}", F.lit(p))
-    scale = known.select(F.col("language").alias("_lang"), *[F.struct(q(m, 0.5).alias("mid"), ((q(m, 0.75) - q(m, 0.25)) / 1.349).alias("spread")).alias(f"s_{m}") for m in MEASURES])
+    q = lambda k, p: F.kll_sketch_get_quantile_double(k, F.lit(p))
+    middle = lambda k: F.struct(q(k, 0.5).alias("mid"), ((q(k, 0.75) - q(k, 0.25)) / 1.349).alias("spread"))
+    scale = known.select(F.col("language").alias("_lang"), *[middle(f"k_{m}").alias(f"s_{m}") for m in MEASURES], *[F.when(F.col("within") > 0, middle(f"w_{m}")).alias(f"t_{m}") for m in TAILS])
     named = [*COMMON_WORDS, "und"]
     x = stats.join(F.broadcast(scale.where(F.col("_lang").isin(named))), F.col("language") == F.col("_lang"), "left").drop("_lang")
-    enough = {"distinct_common": F.col("words") >= 20}  # a short reply may have one common word
     for m in MEASURES:
         least = TAILS[m][3] if m in TAILS else 1e-9
         x = x.withColumn(f"z_{m}", F.coalesce((F.col(m) - F.col(f"s_{m}.mid")) / F.greatest(F.col(f"s_{m}.spread"), F.lit(least)), F.lit(0.0)))
     marks = []
-    for m, (side, z, bound, _) in TAILS.items():
-        marks.append(F.when(enough.get(m, F.lit(True)) & (F.col(f"z_{m}") * side > z) & ((F.col(m) - bound) * side > 0), F.lit(m)))
+    for m, (side, z, _, least) in TAILS.items():
+        off = (F.col(m) - F.col(f"t_{m}.mid")) / F.greatest(F.col(f"t_{m}.spread"), F.lit(least))
+        marks.append(F.when(_beyond(m) & F.coalesce(off * side > z, F.lit(True)), F.lit(m)))
     far = F.filter(F.array(*marks), lambda s: s.isNotNull())
-    return x.drop(*[f"s_{m}" for m in MEASURES]).withColumn("far", far).withColumn("prose", (F.size("far") == 0) & (F.col("language") != "und"))
+    return x.withColumn("far", far).drop(*[f"s_{m}" for m in MEASURES], *[f"t_{m}" for m in TAILS]).withColumn("prose", (F.size("far") == 0) & (F.col("language") != "und"))
