@@ -17,7 +17,7 @@ from voltloom.operators.metrics import adjusted_rand, confusion, forecast_errors
 from voltloom.operators.ordering import bucket_of, hash_bucket, running_totals
 from voltloom.operators.profile import savings, usual_window
 from voltloom.operators.recommend import spaced_top, window_around_peak
-from voltloom.operators.series import history_median, rank_quartile
+from voltloom.operators.series import history_median, history_percentile, rank_quartile
 from voltloom.operators.timegrid import resample
 
 T = datetime(2025, 1, 1)
@@ -164,3 +164,10 @@ def test_lookups_beyond_the_bound_give_the_same(spark):
     b = spark.createDataFrame([(0, "x"), (1, "y"), (9, "z")], "k int, w string")
     few, many = (sorted(map(str, lookup_join(a, b, ["k"], most_rows=n).select("k", "v", "w").collect())) for n in (10, 1))
     assert few == many and len(few) == 41
+
+
+def test_history_percentile_keeps_everything_older(spark):
+    rows = [(T + timedelta(days=i), float(v)) for i, v in [(0, 1), (0, 2), (0, 9), (1, 4), (400, 100), (1200, 5), (1200, 6)]]
+    x = spark.createDataFrame(rows, "t timestamp_ntz, v double").select(F.to_date("t").alias("day"), "v")
+    got = {(r["day"] - T.date()).days: (r["threshold"], r["values"]) for r in history_percentile(x, "day", "v", 0.5).collect()}
+    assert got == {1: (2.0, 3), 400: (3.0, 4), 1200: (4.0, 5)}

@@ -94,11 +94,12 @@ def dynamic_threshold(df: DataFrame, keys: Sequence[str], order: str, value: str
     return df.withColumn("threshold", t).withColumn("above", F.col(value) > F.col("threshold"))
 
 
-def history_percentile(df: DataFrame, day: str, value: str, q: float, window_days: int = 365) -> DataFrame:
+def history_percentile(df: DataFrame, day: str, value: str, q: float) -> DataFrame:
     """day, threshold: the percentile of all values of the days before it, of a table with a bounded number of values a day."""
-    past = df.select(F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, window_days))).alias(day), F.col(value).alias("_v"))
-    days = df.select(day).distinct()
-    return days.join(past, day).groupBy(day).agg(F.percentile("_v", F.lit(q)).alias("threshold"), F.count("_v").alias("values"))
+    w = Window.orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
+    x = df.withColumn("_d", F.datediff(day, F.lit("1970-01-01")))
+    x = x.select(day, F.percentile(value, F.lit(q)).over(w).alias("threshold"), F.count(value).over(w).alias("values"), F.count(F.lit(1)).over(w).alias("_n"))
+    return x.where("_n > 0").select(day, "threshold", "values").distinct()
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
