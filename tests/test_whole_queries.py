@@ -35,3 +35,18 @@ def test_spikes_start_above_fifteen_kilowatts(spark, tmp_path):
     saved(spark, tmp_path, "households_1min_c001_c025", [(T0 + timedelta(minutes=i), k, w) for i, (k, w) in enumerate(readings)], "timestamp timestamp_ntz, client_id string, aggregate_power_w double")
     got = {r["client_id"]: (r["removed"], r["mean_kw"]) for r in QUERIES["spike_mask"](spark, str(tmp_path)).collect()}
     assert got == {"C1": (1, 8.333333333), "C2": (1, None)}
+
+
+def test_minute_series_of_households_registers_and_temperatures(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    readings = [("a", at(-30), 100.0), ("a", at(30), 20.0), ("a", at(150), 65535.0), ("a", at(210), 40.0), ("a", at(270), 8.0)]
+    saved(spark, tmp_path, "partition_data", [(k, t, w) for k, t, w in readings], "client_id string, timestamp timestamp_ntz, aggregate_w double")
+    saved(spark, tmp_path, "grid_1min", [("r", at(0), 20.0), ("r", at(120), -127.0), ("r", at(180), 22.0), ("r", at(240), 23.0)], "region_id string, timestamp timestamp_ntz, temperature_c double")
+
+    def minutes(name):
+        return {round((r["slot"] - T0).total_seconds() / 60): (r["value"], r["timestamp_gap"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+
+    assert minutes("p2_household_minutes") == {-1: (100.0, False), 0: (60.0, False), 1: (20.0, True), 2: (20.0, False), 3: (40.0, False), 4: (40.0, False)}
+    assert minutes("p2_region_temperature_minutes") == {0: (20.0, False), 1: (20.0, True), 2: (None, False), 3: (22.0, False), 4: (None, False)}
+    # registers 100 | 20 20 60 68: the fall at the month's end is a reset, its increment the new reading
+    assert minutes("p2_register_minutes") == {-1: (10.0, False), 0: (10.0, False), 1: (0.0, True), 2: (20.0, False), 3: (24.0, False), 4: (4.0, False)}

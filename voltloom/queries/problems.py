@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.functions.columns import POWER_STAND_INS, canonical_id, measured
+from voltloom.functions.columns import CONNECTION_LIMIT_W, POWER_STAND_INS, TEMPERATURE_STAND_INS, canonical_id, measured
 from voltloom.operators.implausible import implausible_readings
 from voltloom.operators.imputation import POWER_FIELDS, fill_power, fill_snapshots, fill_temperature, power_columns
+from voltloom.operators.ordering import running_totals
 from voltloom.operators.orphans import count_orphans, life_spans, orphan_references
 from voltloom.operators.regular_grid import regular_grid
 from voltloom.operators.trailing import trailing_totals
@@ -35,6 +36,31 @@ def p2_region_minutes(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("value", F.round("value", 9))
 
 
+def p2_region_temperature_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per region and minute: measured temperature held between readings, silent minutes filled and marked."""
+    x = read(spark, d, "grid_1min").withColumn("temperature_c", measured(F.col("temperature_c"), TEMPERATURE_STAND_INS))
+    return regular_grid(x, ["region_id"], "timestamp", "temperature_c").withColumn("value", F.round("value", 9))
+
+
+def _possible_watts(spark: SparkSession, d: str) -> DataFrame:
+    """client_id, timestamp, aggregate_w: every row; null where the reading is unmeasured or impossible."""
+    w = measured(F.col("aggregate_w"), POWER_STAND_INS)
+    return read(spark, d, "partition_data").select("client_id", "timestamp", F.when((w >= 0) & (w <= CONNECTION_LIMIT_W), w).alias("aggregate_w"))
+
+
+def p2_household_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per household and minute: possible power held between readings, silent minutes filled and marked."""
+    return regular_grid(_possible_watts(spark, d), ["client_id"], "timestamp", "aggregate_w").withColumn("value", F.round("value", 9))
+
+
+def p2_register_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per household and minute: increments of its register, the cumulative total of its readings in whole watts, which restarts every month."""
+    x = _possible_watts(spark, d).where("client_id is not null and timestamp is not null").groupBy("client_id", "timestamp").agg(F.coalesce(F.round(F.max("aggregate_w")).cast("bigint"), F.lit(0)).alias("w"))
+    x = x.withColumn("month", F.concat_ws(" ", "client_id", F.date_format("timestamp", "yyyy-MM"))).withColumn("day", F.to_date("timestamp"))
+    x = running_totals(x, "month", "day", ["timestamp"], "w")
+    return regular_grid(x, ["client_id"], "timestamp", "upto", kind="counter").withColumn("value", F.round("value", 6))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that were not measured, as the imputation fills them."""
     x = p3_filled(spark, d)
@@ -104,4 +130,4 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_orphans(_p7(spark, d), "src_table", "ref_field")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_region_minutes, p3_found, p3_filled, p3_snapshots, p4_found, p4_trailing_power, p4_trailing_partition, p6_found, p6_flagged, p7_found, p7_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_region_minutes, p2_region_temperature_minutes, p2_household_minutes, p2_register_minutes, p3_found, p3_filled, p3_snapshots, p4_found, p4_trailing_power, p4_trailing_partition, p6_found, p6_flagged, p7_found, p7_counts)}
