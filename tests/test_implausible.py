@@ -4,10 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.operators.implausible import implausible_readings
+from voltloom.operators.implausible import GAIN, implausible_readings, steady_innovations
 from voltloom.operators.imputation import POWER_FIELDS, power_columns
 from voltloom.queries.problems_sql import P6_FOUND
 
@@ -75,6 +76,42 @@ def test_lasting_load_is_no_spike_and_a_brief_one_is(spark):
     assert len(found) == 9 and all(x.reason == "spike" and x.z > 2 for x in found)
 
 
+def test_excursions_on_both_sides_of_an_impossible_reading_are_two(spark):
+    base = [("a", datetime(2025, 1, 1) + timedelta(minutes=i), 100.0 + i % 7, None) for i in range(60)]
+    rows = [(c, t, -5.0 if i == 26 else 5000.0 + i if 20 <= i < 33 else v, x) for i, (c, t, v, x) in enumerate(base)]
+    found = find(spark, rows).collect()
+    assert sorted(x.reason for x in found) == ["impossible"] + ["spike"] * 12
+    assert {(x.client_id, x.ts.strftime("%Y-%m-%d %H:%M:%S"), x.field) for x in found} == brute(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spikes_among_impossible_readings(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for k in range(60):
+        t, n, i = datetime(2025, 1, 1, 23), r.choice([40, 90]), 0
+        while i < n:
+            high = r.choice([0, 0, 3, 6, 9, 12])
+            for j in range(high + r.randrange(1, 12)):
+                v = r.choice([-5.0, float("inf"), 2e5]) if r.random() < 0.12 else 3000.0 + r.random() if j < high else float(r.randrange(80, 900))
+                rows.append((f"h{k}", t, v, None))
+                t, i = t + timedelta(seconds=60), i + 1
+    r.shuffle(rows)
+    assert {(x.client_id, x.ts.strftime("%Y-%m-%d %H:%M:%S"), x.field) for x in find(spark, rows).collect()} == brute(rows)
+
+
+def test_steady_filter_is_the_recursion():
+    r = np.random.default_rng(3)
+    y, new = r.random(400) * 1000, r.random(400) < 0.03
+    new[0] = True
+    level, want = 0.0, []
+    for v, first in zip(y, new):
+        level = v if first else level
+        want.append(v - level)
+        level += GAIN * (v - level)
+    assert np.allclose(steady_innovations(y, new), want, rtol=0, atol=1e-9)
+
+
 def test_every_case_below_a_gap_is_followed(spark):
     rows = [("a", datetime(2025, 1, 1) + timedelta(minutes=i), v, None) for i, v in enumerate([0.0] * 30 + [500.0] + [0.0] * 30)]
     assert [x.value for x in find(spark, rows).collect()] == [500.0]
