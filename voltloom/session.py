@@ -23,6 +23,12 @@ def get_session(app: str = "voltloom", cores: int | str = "*", shuffle_partition
     )
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of intermediate files, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Times are local civil time: read them under UTC so that no hour is skipped or doubled."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -31,10 +37,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``, or that of the context; a temporary one only for a local session without either.
+
+    On a cluster without the setting this is an error: each executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="voltloom-checkpoint-"))
     return folder or context.getCheckpointDir()
 
