@@ -60,20 +60,44 @@ def test_packing_cases(spark):
         packed(spark, [], 0)
 
 
+@pytest.mark.parametrize("part_size", [60, 1 << 22])
+def test_repeated_items_are_packed_each_for_itself(spark, part_size):
+    rows = [(3, "a", 25), (3, "a", 25), (3, "a", 4), (4, "b", 20), (4, "b", 20), (5, None, 9)]
+    got = packed(spark, rows, 10, part_size=part_size)
+    filled = {}
+    for x in got:
+        filled[x.container] = filled.get(x.container, 0) + x.size
+    assert max(filled.values()) <= 10 and all(x.filled == filled[x.container] for x in got)
+    assert sorted((x.item, x.piece, x.pieces, x.size) for x in got) == sorted([("3", 0, 3, 10), ("3", 1, 3, 10), ("3", 2, 3, 5)] * 2 + [("3", 0, 1, 4)] + [("4", 0, 2, 10), ("4", 1, 2, 10)] * 2 + [("5", 0, 1, 9)])
+
+
+def test_containers_follow_the_shares_asked_for(spark):
+    r = random.Random(6)
+    rows = [(i, "a" if i % 5 < 4 else "b", r.randrange(5, 40)) for i in range(3000)]
+    got = packed(spark, rows, 1000, shares={"a": 1.6, "b": 0.4}, part_size=15000)
+    by = {}
+    for x in got:
+        by.setdefault(x.container, []).append((x.source, x.size))
+    near = [abs(sum(n for s, n in c if s == "b") / sum(n for _, n in c) - 0.2) < 0.08 for c in by.values() if sum(n for _, n in c) > 900]
+    assert sum(near) > 0.85 * len(near)  # the last containers of a partition take what is left
+
+
 PLAN = "source string, target_share double, max_repeats int"
 
 
 def test_mix_reaches_its_shares(spark):
     r = random.Random(3)
     rows = [(i, "Big " if i % 10 else "small", r.randrange(1, 30)) for i in range(2000)] + [(9000 + i, "tiny", 5) for i in range(4)] + [(7777, "other", 999), (None, "tiny", 5), (7778, None, 4)]
-    plan = spark.createDataFrame([("big", 0.5, 3), ("Small", 0.4, 9), ("tiny", 0.1, 2), ("empty", 0.1, 5), (None, 0.1, 1)], PLAN)
+    plan = spark.createDataFrame([("big", 1.0, 3), ("Small", 0.8, 9), ("tiny", 0.1, 2), ("empty", 0.1, 5), (None, 0.1, 1)], PLAN)
     m, report = mix(docs(spark, rows), F.col("id"), F.col("src"), F.col("n"), plan)
     total = sum(n for i, s, n in rows if i is not None and s is not None and s.strip().lower() in ("big", "small", "tiny"))
     rep = {x.source: x for x in report.collect()}
     assert {s: x.reached for s, x in rep.items()} == {"big": True, "Small": True, "tiny": False, "empty": False}
-    assert abs(rep["big"].actual_share - 0.5) < 0.003 and abs(rep["Small"].actual_share - 0.4) < 0.003
     assert rep["tiny"].size_used == 4 * 5 * 2 and rep["empty"].documents == 0
+    rest = total - 40  # what tiny and empty leave is filled by the others in their proportion
+    assert abs(rep["big"].size_used / rest - 1 / 1.8) < 0.003 and abs(rep["Small"].size_used / rest - 0.8 / 1.8) < 0.003
     got = m.collect()
+    assert abs(sum(x.size for x in got) - total) <= 15
     uses = {}
     for x in got:
         uses.setdefault((x.source, x.doc_id), []).append(x.repeat)
@@ -86,6 +110,30 @@ def test_mix_reaches_its_shares(spark):
     assert rep["big"].size_once + rep["Small"].size_once + rep["tiny"].size_once == total
 
 
+@pytest.mark.parametrize("shares, tiny", [((0.8, 0.7), 300), ((0.5, 0.5), 3), ((0.02, 0.01), 300)])
+def test_the_budget_is_kept(spark, shares, tiny):
+    rows = [(i, "a", 5 + i % 7) for i in range(300)] + [(1000 + i, "b", 5 + i % 5) for i in range(tiny)] + [(5000 + i, "a", 0) for i in range(3)]
+    plan = spark.createDataFrame([("a", shares[0], 1), ("b", shares[1], 1)], PLAN)
+    m, report = mix(docs(spark, rows), F.col("id"), F.col("src"), F.col("n"), plan, budget=1000)
+    by = {}
+    for x in m.collect():
+        by[x.source] = by.get(x.source, 0) + x.size
+    assert abs(sum(by.values()) - 1000) <= 6
+    assert by == {x.source: x.size_used for x in report.collect()}
+    if tiny > 3:
+        assert abs(by["a"] / 1000 - shares[0] / sum(shares)) < 0.012
+    else:
+        assert by["b"] == 5 + 6 + 7
+
+
+def test_a_budget_beyond_all_repeats_takes_everything(spark):
+    plan = spark.createDataFrame([("a", 1.0, 2)], PLAN)
+    m, report = mix(docs(spark, [(1, "a", 5), (2, "A ", 7)]), F.col("id"), F.col("src"), F.col("n"), plan, budget=1000)
+    assert m.count() == 4 and [(x.size_used, x.reached) for x in report.collect()] == [(24, False)]
+    m, _ = mix(docs(spark, [(1, "a", 5)]), F.col("id"), F.col("src"), F.col("n"), plan, budget=0)
+    assert m.count() == 0
+
+
 def test_mix_cases(spark):
     plan = spark.createDataFrame([("a", 1.0, 1)], PLAN)
     m, report = mix(docs(spark, []), F.col("id"), F.col("src"), F.col("n"), plan)

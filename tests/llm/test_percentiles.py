@@ -57,3 +57,12 @@ def test_infinite_values_and_empty(spark):
     got = {x.percent: x.value for x in percentiles(value_counts(frame(spark, [("a", inf), ("a", inf), ("a", -inf), ("a", 1.0), ("a", 2.0)]), F.col("g"), F.col("v")), (0.0, 0.5, 1.0), name="k").collect()}
     assert got == {0.0: -inf, 0.5: 2.0, 1.0: inf}
     assert percentiles(value_counts(frame(spark, []), F.col("g"), F.col("v")), QS).count() == 0
+
+
+def test_many_cut_points_are_an_equal_number_of_values_each(spark):
+    from voltloom.operators.ordering import bucket_of
+
+    points = [float(i * i) for i in range(1000)]
+    df = spark.createDataFrame([(float(v),) for v in range(-5, 1_100_000, 997)], "v double")
+    got = {x.v: x.b for x in df.select("v", bucket_of(F.col("v"), points).alias("b")).collect()}
+    assert got == {v: sum(p <= v for p in points) for v in got}

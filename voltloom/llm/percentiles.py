@@ -12,7 +12,9 @@ and give the same result as one pass. The stated error is zero; with
 that the counts of any number of rows stay small, and results are within it.
 
 Scale: a group with a third of all rows is sorted in as many tasks as there are
-ranges; nothing but the cut points and no group as a whole reaches one task.
+ranges, which hold about equal numbers of distinct values; nothing but the cut points
+and no group as a whole reaches one task. The table is scanned once: the counts are
+written to the shared folder, where the cut points and the sort read them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.operators.ordering import bucket_of, running_totals, split_points
+from voltloom.operators.ordering import order_statistics
+from voltloom.session import cut
 
 _NONE = "\u0000"
 
@@ -52,17 +55,5 @@ def percentiles(counts: DataFrame, percents: Sequence[float] = (0.5,), *, name:
     every percentile is that value; ties are counted; between two infinite neighbours of
     one sign the result is infinite; an empty table gives an empty result.
     """
-    pieces = pieces or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    finite = [p for p in split_points(counts, "v", min(pieces, 256)) if math.isfinite(p)]  # a tree of that size stays compiled code
-    x = counts.withColumn("_bucket", bucket_of(F.col("v"), finite, -(-pieces // 256)))
-    x = running_totals(x, "g", "_bucket", ["v"], "c")
-    at = F.array(*[F.struct(F.lit(float(q)).alias("q"), ((F.col("whole") - 1) * F.lit(float(q))).alias("h")) for q in percents])
-    inside = lambda p: (F.col("upto") - F.col("c") <= p) & (p < F.col("upto"))
-    x = x.select("g", "v", "c", "upto", "whole", F.explode(F.filter(at, lambda s: inside(F.floor(s["h"])) | inside(F.ceil(s["h"])))).alias("s"))
-    low, high = F.floor("s.h"), F.ceil("s.h")
-    y = x.groupBy("g", "s.q").agg(
-        F.max("whole").alias("n"), F.max("s.h").alias("h"),
-        F.max(F.when(inside(low), F.col("v"))).alias("lo"), F.max(F.when(inside(high), F.col("v"))).alias("hi"),
-    )
-    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h")))
-    return y.select(F.when(F.col("g") != _NONE, F.col("g")).alias(name), F.col("n").cast("bigint").alias("values"), F.col("q").alias("percent"), F.round(value, 9).alias("value"))
+    y = order_statistics(cut(counts), "g", percents, pieces)
+    return y.select(F.when(F.col("g") != _NONE, F.col("g")).alias(name), F.col("n").alias("values"), F.col("q").alias("percent"), F.round("value", 9).alias("value"))
