@@ -48,12 +48,23 @@ def test_sketches_merge(spark):
     assert grade(stats, parts).where("not prose").count() == 0
 
 
+def test_other_languages_are_measured_not_refused(spark):
+    other = ["Questa mattina il contatore faceva un rumore strano, quindi ho chiamato la ditta e loro hanno promesso una visita.", "Non capisco perche la bolletta sia raddoppiata dopo che abbiamo cambiato il vecchio contatore con quello nuovo."]
+    junk = ["12 33 44 | 55 12 | 99 12 33 44 55", "valvola\nfusibile\nmorsetto\nstaffa 12\nsensore 9"]
+    texts = [(t, "en" if i % 5 else None) for i, t in enumerate(PROSE * 8)] + [(t, "it") for t in other * 4 + junk]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "id long, text string, lang string")
+    got = grade(text_statistics(df, "id", "text", label=F.col("lang"))).orderBy("id").collect()
+    assert [x.prose for x in got] == [True] * (len(texts) - 2) + [False] * 2
+    assert {x.language for x in got[-10:]} == {"it"} and not any(x.listed for x in got[-10:])
+    assert all(0 <= x[f"p_{m}"] <= 99 for x in got for m in MEASURES)
+
+
 def test_cases(spark):
     assert grade(text_statistics(frame(spark, []), "id", "text")).count() == 0
-    only = grade(text_statistics(frame(spark, JUNK), "id", "text")).collect()
-    assert len(only) == len(JUNK) and not any(x.prose for x in only)
-    long = grade(text_statistics(frame(spark, [" ".join(PROSE) * 300, "x" * 300_000]), "id", "text")).orderBy("id").collect()
-    assert long[0].words > 25_000 and [x.prose for x in long] == [True, False]
+    only = grade(text_statistics(frame(spark, JUNK[:-1]), "id", "text")).collect()
+    assert len(only) == len(JUNK) - 1 and not any(x.prose for x in only if not x.common_share)
+    long = grade(text_statistics(frame(spark, [" ".join(PROSE) * 300, *PROSE * 6, "x" * 300_000]), "id", "text")).orderBy("id").collect()
+    assert long[0].words > 25_000 and [long[0].prose, long[-1].prose] == [True, False]
 
 
 @pytest.mark.parametrize("copies", [1, 18, 40])

@@ -181,7 +181,8 @@ def p9_by_chars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return grade(text_statistics(read(spark, d, "documents"), "doc_id", "text"))
+    """Statistics of every post with robust z-scores, percentiles and depth."""
+    return grade(text_statistics(read(spark, d, "documents"), "doc_id", "text", label=F.col("lang")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
