@@ -67,12 +67,12 @@ def test_power_cases(spark):
     ]
     df = spark.createDataFrame(rows, "client_id string, timestamp timestamp_ntz, aggregate_w double, targets_w array<double>, level int")
     homes = spark.createDataFrame([("s", True), ("s", True), ("n", False), (None, True), ("x", None)], "client_id string, has_submeter boolean")
-    got = {(g.source_key, (g.ts - t).seconds // 60, g.field): g.value for g in fill_power(df, homes, components=2, iterations=2).collect()}
+    got = {(g.source_key, (g.ts - t).seconds // 60, g.field): g.value for g in fill_power(df, homes, components=2).collect()}
     ac, wh, wm = "ac_power_w", "water_heater_power_w", "washing_machine_power_w"
     assert set(got) == {("s", 60, "aggregate_w"), ("s", 60, wh), ("s", 60, wm), ("s", 61, ac), ("s", 61, wh), ("s", 61, wm), ("s", 62, wh), ("n", 60, "aggregate_w"), ("n", 62, "aggregate_w"), ("u", 1, "aggregate_w")}
     assert all(np.isfinite(v) and v >= 0 for v in got.values())
     assert 100 < got["n", 60, "aggregate_w"] < 300
-    assert fill_power(df.limit(0), homes.limit(0), components=2, iterations=1).count() == 0
+    assert fill_power(df.limit(0), homes.limit(0), components=2).count() == 0
 
 
 def test_temperature_follows_its_region_and_day(spark):
@@ -83,10 +83,10 @@ def test_temperature_follows_its_region_and_day(spark):
             rows.append(("r", datetime(2025, 1, 1 + d, i % 24, i), 10.0 + d + r.random(), 5.0, 1.0))
     lost = [("r", datetime(2025, 1, 5, 3, 59), v, 5.0, 1.0) for v in (None, -127.0)] + [("r", datetime(2025, 1, 18, 3, 59), 85.0, None, float("nan"))]
     df = spark.createDataFrame(rows + lost, "region_id string, timestamp timestamp_ntz, temperature_c double, households_consumption_kw double, pv_production_kw double")
-    got = {g.ts.day: g.value for g in fill_temperature(df, components=2, iterations=5).collect()}
+    got = {g.ts.day: g.value for g in fill_temperature(df, components=2).collect()}
     assert set(got) == {5, 18}
     assert abs(got[5] - 14.5) < 1.5 and abs(got[18] - 27.5) < 1.5
-    assert fill_temperature(df.limit(0), components=2, iterations=1).count() == 0
+    assert fill_temperature(df.limit(0), components=2).count() == 0
 
 
 def test_snapshots_get_their_likely_segment(spark):
@@ -99,10 +99,24 @@ def test_snapshots_get_their_likely_segment(spark):
         rows.append((i, "big" if big else "small", size, size * 900, size / 2, 0.1, 0.3, 1))
     lost = [(1000, None, 40.0, 36000.0, 20.0, 0.1, 0.3, 1), (1001, "small", None, 1800.0, 1.0, 0.1, 0.3, 1), (1002, None, float("nan"), 1800.0, 1.0, None, 0.3, 1)]
     df = spark.createDataFrame(rows + rows[:5] + lost + lost[:1], schema)
-    got = {x.snapshot_id: x for x in fill_snapshots(df, components=2, iterations=6).collect()}
+    got = {x.snapshot_id: x for x in fill_snapshots(df, components=2).collect()}
     assert len(got) == 603
     assert (got[1000].segment, got[1000].segment_imputed, got[1000].evening_imputed) == ("big", True, False)
     assert got[1001].evening_imputed and 1.5 < got[1001].usual_evening_kwh < 3
     assert (got[1002].segment, got[1002].segment_imputed) == ("small", True) and not got[0].segment_imputed
-    assert fill_snapshots(df.limit(0), components=2, iterations=1).count() == 0
-    assert fill_snapshots(df.withColumn("segment", F.lit(None).cast("string")), components=2, iterations=2).where("segment is not null").count() == 0
+    assert fill_snapshots(df.limit(0), components=2).count() == 0
+    assert fill_snapshots(df.withColumn("segment", F.lit(None).cast("string")), components=2).where("segment is not null").count() == 0
+
+
+def test_cells_kept_apart_merge_to_the_same_cells(spark):
+    from voltloom.operators.mixture import cells, with_level
+
+    r = random.Random(8)
+    rows = [(f"h{i % 7}", None if r.random() < 0.2 else r.gauss(5, 2), r.choice([None, 0, 1]), float(i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, x double, c int, level double")
+    parts = cells(df, ["x"], [0.5], ["c"], by=["k"])
+    levels = df.select("k", "level").distinct()
+    got = with_level(parts.join(levels, "k"), "level", 1, 0.5, 1)
+    want = cells(df, ["x", "level"], [0.5, 0.5], ["c"])
+    key = lambda t: {(x.b0, x.b1, x.c0): (x.w, *(None if v is None else round(v, 6) for v in (x.m0, x.m1, x.q0, x.q1))) for x in t.collect()}
+    assert key(got) == key(want)

@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.functions.bloom import bloom_filter, might_contain
+from voltloom.functions import bloom
+from voltloom.operators import joins
 from voltloom.functions.columns import canonical_id
 from voltloom.operators.orphans import count_orphans, life_spans, orphan_references
 
@@ -53,9 +54,26 @@ def test_empty(spark):
     assert count_orphans(run(spark, [], [(1, "A", T), (2, "B", T)])).collect()[0].orphans == 2
 
 
-def test_bloom_filter_has_no_misses(spark):
-    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
-    f = bloom_filter(keys, "key")
-    other = spark.range(5000).select(F.concat(F.lit("z"), "id").alias("key"))
-    assert keys.where(~might_contain(spark, f, F.col("key"))).count() == 0
-    assert other.where(might_contain(spark, f, F.col("key"))).count() < 250
+@pytest.mark.parametrize("routed", [False, True])
+def test_bloom_filter_has_no_misses(spark, routed, monkeypatch):
+    if routed:  # as if the shards were too large to broadcast
+        monkeypatch.setattr(bloom, "MOST_BYTES", 0)
+    keys = spark.range(9000).select(F.concat(F.lit("k"), "id").alias("key"))
+    f = bloom.bloom_filter(keys, "key", 9000)
+    assert f.count() == 5
+    other = spark.range(9000).select(F.concat(F.lit("z"), "id").alias("key"))
+    assert bloom.might_contain(keys, "key", f, 9000).where("not _maybe").count() == 0
+    assert bloom.might_contain(other, "key", f, 9000).where("_maybe").count() < 200
+    assert bloom.might_contain(other.limit(3), "key", f.limit(0), 0).where("_maybe").count() == 0
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), "id")
+    look = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "key string, v int")
+    assert {(h.key, h._pieces) for h in joins.hot_keys(rows, ["key"]).collect()} == {("hot", 2)}
+    want = rows.join(look, "key", "left")
+    for how in ("left", "inner"):
+        got = joins.spread_join(rows, look, ["key"], how)
+        assert got.exceptAll(want).count() == 0 and got.count() == (4000 if how == "left" else want.where("v is not null").count())
+    assert joins.spread_join(rows, look, ["key"], "left_anti").count() == want.where("v is null").count()
+    assert joins.lookup_join(rows, look, ["key"], most_bytes=0).exceptAll(want).count() == 0

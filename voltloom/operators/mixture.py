@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,8 @@ class Mixture:
     covs: np.ndarray
     cats: list[np.ndarray]
 
-    def given(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[tuple, np.ndarray]]:
-        """Responsibilities (n, K), expectations (n, K, d) with x's gaps filled, and covariances of the gaps by pattern of gaps."""
+    def given(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[tuple, np.ndarray], np.ndarray]:
+        """Responsibilities (n, K), expectations (n, K, d) with x's gaps filled, covariances of the gaps by pattern of gaps, and log likelihoods (n)."""
         n, d = x.shape
         k = len(self.weights)
         score = np.tile(np.log(self.weights), (n, 1))
@@ -70,15 +70,16 @@ class Mixture:
                         full[np.ix_(at, [i], m)] = mu[m]
                         left[np.ix_([i], m, m)] = cov[np.ix_(m, m)]
             spread[int(code)] = left
-        score -= score.max(axis=1, keepdims=True)
-        r = np.exp(score)
-        return r / r.sum(axis=1, keepdims=True), full, spread
+        top = score.max(axis=1, keepdims=True)
+        r = np.exp(score - top)
+        all_ = r.sum(axis=1, keepdims=True)
+        return r / all_, full, spread, (top + np.log(all_))[:, 0]
 
     def fill(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """x and c with NaN and negative codes replaced by conditional expectations and modes."""
         if not len(x):
             return x, c
-        r, full, _ = self.given(x, c)
+        r, full, _, _ = self.given(x, c)
         out = np.where(np.isnan(x), np.einsum("nk,nkd->nd", r, full), x)
         codes = c.copy()
         for j, table in enumerate(self.cats):
@@ -99,7 +100,7 @@ def _statistics(model: Mixture, d: int, sizes: Sequence[int]):
             x = pdf[[f"m{i}" for i in range(d)]].to_numpy("float64")
             own = np.nan_to_num(pdf[[f"q{i}" for i in range(d)]].to_numpy("float64"))
             c = pdf[[f"c{j}" for j in range(len(sizes))]].fillna(-1).to_numpy("int64") if sizes else np.zeros((len(w), 0), int)
-            r, full, spread = model.given(x, c)
+            r, full, spread, likely = model.given(x, c)
             rw = r * w[:, None]
             codes = np.isnan(x) @ (1 << np.arange(d))
             rows = []
@@ -108,7 +109,7 @@ def _statistics(model: Mixture, d: int, sizes: Sequence[int]):
                 for code, left in spread.items():
                     second += rw[codes == code, i].sum() * left[i]
                 tables = [np.bincount(c[c[:, j] >= 0, j], rw[c[:, j] >= 0, i], minlength=s)[:s] for j, s in enumerate(sizes)]
-                rows.append(np.concatenate([[rw[:, i].sum()], rw[:, i] @ full[:, i], second.ravel(), *tables]))
+                rows.append(np.concatenate([[rw[:, i].sum()], rw[:, i] @ full[:, i], second.ravel(), *tables, [w @ likely]]))
             total = np.array(rows) if total is None else total + np.array(rows)
         if total is not None:
             yield pd.DataFrame({"k": range(len(total)), "s": list(total)})
@@ -116,30 +117,60 @@ def _statistics(model: Mixture, d: int, sizes: Sequence[int]):
     return run
 
 
-def cells(df: DataFrame, numbers: Sequence[str], widths: Sequence[float], categories: Sequence[str]) -> DataFrame:
-    """The records reduced to cells: weight w, means m0.. and scatters q0.. of the numbers, codes c0.. of the categories."""
+def _bin(c: Column, width: float) -> Column:
+    return F.round(c / width).cast("int")
+
+
+def cells(df: DataFrame, numbers: Sequence[str], widths: Sequence[float], categories: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The records reduced to cells: bins b0.., weight w, means m0.. and scatters q0.. of the numbers, codes c0.. of the categories.
+
+    by: columns that keep their own cells apart, such as a source whose level is not known yet.
+    """
     clean = [F.when(~F.isnan(F.col(x)) & (F.abs(F.col(x)) < 1e300), F.col(x)).alias(f"x{i}") for i, x in enumerate(numbers)]
-    x = df.select(*clean, *[F.col(c).cast("int").alias(f"c{j}") for j, c in enumerate(categories)])
-    by = [F.round(F.col(f"x{i}") / w).cast("int").alias(f"b{i}") for i, w in enumerate(widths)]
+    x = df.select(*by, *clean, *[F.col(c).cast("int").alias(f"c{j}") for j, c in enumerate(categories)])
+    bins = [_bin(F.col(f"x{i}"), w).alias(f"b{i}") for i, w in enumerate(widths)]
     n = F.count(F.lit(1)).cast("double")
     sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(len(numbers))] + [(F.var_pop(f"x{i}") * n).alias(f"q{i}") for i in range(len(numbers))]
-    return x.groupBy(*by, *[f"c{j}" for j in range(len(categories))]).agg(n.alias("w"), *sums)
+    return x.groupBy(*by, *bins, *[f"c{j}" for j in range(len(categories))]).agg(n.alias("w"), *sums)
+
 
+def with_level(parts: DataFrame, level: str, numbers: int, width: float, categories: int) -> DataFrame:
+    """Cells kept apart by source, merged to cells whose last number is the source's ``level``, one value a source."""
+    last = numbers
+    x = parts.withColumn(f"b{last}", _bin(F.col(level), width)).withColumn(f"m{last}", F.col(level)).withColumn(f"q{last}", F.when(F.col(level).isNotNull(), F.lit(0.0)))
+    w = F.sum("w")
+    every = range(numbers + 1)
+    means = [(F.sum(F.col(f"m{i}") * F.col("w")) / w).alias(f"m{i}") for i in every]  # within a cell a number is known everywhere or nowhere
+    second = [F.sum(F.col(f"q{i}") + F.col("w") * F.col(f"m{i}") * F.col(f"m{i}")).alias(f"s{i}") for i in every]
+    y = x.groupBy(*[f"b{i}" for i in every], *[f"c{j}" for j in range(categories)]).agg(w.alias("w"), *means, *second)
+    scatter = [F.greatest(F.col(f"s{i}") - F.col("w") * F.col(f"m{i}") * F.col(f"m{i}"), F.lit(0.0)).alias(f"q{i}") for i in every]
+    return y.select(*[f"b{i}" for i in every], *[f"c{j}" for j in range(categories)], "w", *[f"m{i}" for i in every], *scatter)
 
-def fit_mixture(df: DataFrame, numbers: Sequence[str], widths: Sequence[float], categories: Sequence[str] = (), sizes: Sequence[int] = (), *, components: int = 5, iterations: int = 8) -> Mixture:
+
+def fit_mixture(df: DataFrame, numbers: Sequence[str], widths: Sequence[float], categories: Sequence[str] = (), sizes: Sequence[int] = (), **kw) -> Mixture:
     """The mixture fitted to all records of ``df``.
 
     numbers: columns of doubles (null or NaN: missing); widths: the bin of each, below
     which values count as similar; categories: columns of codes 0..size-1 (null: missing).
-    Defined cases: an empty table, or a field without any value, gives components of mean
-    zero and width spread; identical records give one tight component.
     """
-    d, eps = len(numbers), np.array([w * w / 12 for w in widths])
-    cell = cut(cells(df, numbers, widths, categories))
+    return fit_cells(cells(df, numbers, widths, categories), widths, sizes, **kw)
+
+
+def fit_cells(cell: DataFrame, widths: Sequence[float], sizes: Sequence[int] = (), *, components: int = 5, iterations: int = 30, tolerance: float = 1e-3) -> Mixture:
+    """The mixture fitted to cells by expectation-maximisation.
+
+    It ends when the mean log likelihood of a record grows by less than ``tolerance``, or
+    after ``iterations`` rounds. Defined cases: an empty table, or a field without any
+    value, gives components of mean zero and width spread; identical records give one
+    tight component.
+    """
+    d, eps = len(widths), np.array([w * w / 12 for w in widths])
+    cell = cut(cell)
     cell = cell.coalesce(max(1, -(-cell.count() // CELLS_A_TASK)))
     lead = cell.where("b0 is not null").groupBy("b0").agg(F.sum("w").alias("w"), *[F.avg(f"m{i}").alias(f"m{i}") for i in range(d)]).orderBy("b0").collect()
     means = np.zeros((components, d))
-    spread = [r[0] or 0.0 for r in [cell.agg(F.try_sum(F.col(f"m{i}") * F.col("w")) / F.try_sum(F.when(F.col(f"m{i}").isNotNull(), F.col("w")))).first() for i in range(d)]] if lead else [0.0] * d
+    weighed = [F.try_sum(F.col(f"m{i}") * F.col("w")) / F.try_sum(F.when(F.col(f"m{i}").isNotNull(), F.col("w"))) for i in range(d)]
+    spread = [v or 0.0 for v in cell.agg(*weighed).first()] if lead else [0.0] * d
     means[:] = spread
     if lead:
         share = np.cumsum([r["w"] for r in lead]) / sum(r["w"] for r in lead)
@@ -150,8 +181,9 @@ def fit_mixture(df: DataFrame, numbers: Sequence[str], widths: Sequence[float],
     model = Mixture(np.full(components, 1 / components), means, covs, [np.full((components, s), 1 / s) for s in sizes])
     if not lead:
         return model
+    before = -np.inf
     for _ in range(iterations):
-        s = np.zeros((components, 1 + d + d * d + sum(sizes)))
+        s = np.zeros((components, 2 + d + d * d + sum(sizes)))
         for row in cell.mapInPandas(_statistics(model, d, sizes), "k int, s array<double>").collect():  # K rows a task
             s[row["k"]] += row["s"]
         n = s[:, 0]
@@ -167,6 +199,10 @@ def fit_mixture(df: DataFrame, numbers: Sequence[str], widths: Sequence[float],
             tables.append(t / t.sum(axis=1, keepdims=True))
             at += size
         model = Mixture(weights / weights.sum(), m, c, tables)
+        likely = s[0, -1] / max(n.sum(), 1e-300)  # of the model before this step
+        if likely - before < tolerance:
+            break
+        before = likely
     return model
 
 

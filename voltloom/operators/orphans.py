@@ -4,9 +4,12 @@ A broadcast Bloom filter of the parents' keys proves most orphans at once: a key
 the filter does not hold was never listed. Only the references it lets through
 are joined, exactly and with the parents' life spans.
 
-Scale: the filter is at most 8 MB whatever the parents' number. The join is
-salted, so that a key which a third of all references name is spread over
-several tasks; the parents have one row a key, all life spans in an array.
+Scale: the filter has 16 bits a key, cut into shards of some 2,000 keys. Up to 32 MB
+of shards are broadcast, beyond that references are routed to their shard. The
+parents have one row a key, all life spans in an array, written once; up to 32 MB
+of them are broadcast, too, else the join is salted by the measured share of each
+hot key. References are scanned once: proven orphans go through the join under a
+key of their own that matches nothing.
 """
 
 from __future__ import annotations
@@ -15,17 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltloom.functions.bloom import bloom_filter, might_contain
+from voltloom.operators.joins import lookup_join
+from voltloom.session import cut
 
 
 def life_spans(parents: DataFrame, key: Column, since: str | None, until: str | None) -> DataFrame:
     """key, spans: one row per parent key with its distinct (since, until) listings; until null is open."""
     none = F.lit(None).cast("timestamp_ntz")
     rows = parents.select(key.cast("string").alias("key"), (F.col(since) if since else none).alias("since"), (F.col(until) if until else none).alias("until"))
-    return rows.where("key is not null").groupBy("key").agg(F.collect_set(F.struct("since", "until")).alias("spans"))
+    return cut(rows.where("key is not null").groupBy("key").agg(F.collect_set(F.struct("since", "until")).alias("spans")))
 
 
 def orphan_references(
-    refs: DataFrame, record: str, key: Column, at: str, spans: DataFrame, *, blank: Column | None = None, fpp: float = 0.01, salt: int = 8
+    refs: DataFrame, record: str, key: Column, at: str, spans: DataFrame, *, blank: Column | None = None
 ) -> DataFrame:
     """The references without a live listing of their key at the record's time.
 
@@ -38,18 +43,16 @@ def orphan_references(
     records count once; without parents every reference is an orphan; an empty table
     of references gives an empty result. Other columns are ignored.
     """
-    spark = refs.sparkSession
     x = refs.select(F.col(record).alias("record_id"), key.cast("string").alias("key"), F.col(at).alias("at"), (F.lit(False) if blank is None else blank).alias("blank"))
     x = x.where("key is not null and not blank").drop("blank")
-    maybe = x.withColumn("_maybe", might_contain(spark, bloom_filter(spans, "key", fpp), F.col("key")))
-    never = maybe.where(~F.col("_maybe")).select("record_id", "key", "at", F.lit("never listed").alias("reason"))
-    passed = maybe.where("_maybe").drop("_maybe").withColumn("_s", F.pmod(F.xxhash64("record_id"), F.lit(salt)).cast("int"))
-    wide = spans.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    y = passed.join(wide, ["key", "_s"], "left")
+    n = spans.count()
+    maybe = might_contain(x, "key", bloom_filter(spans, "key", n), n)
+    nowhere = F.concat(F.lit("\u0000"), F.xxhash64("record_id", "at").cast("string"))
+    asked = maybe.withColumn("_key", F.when(F.col("_maybe"), F.col("key")).otherwise(nowhere))
+    y = lookup_join(asked, spans.select(F.col("key").alias("_key"), "spans"), ["_key"])
     live = F.exists("spans", lambda s: F.col("at").isNull() | ((s["since"].isNull() | (s["since"] <= F.col("at"))) & (s["until"].isNull() | (F.col("at") < s["until"]))))
     gone = y.where(F.col("spans").isNull() | ~live)
-    gone = gone.select("record_id", "key", "at", F.when(F.col("spans").isNull(), "never listed").otherwise("not listed then").alias("reason"))
-    return never.unionByName(gone).distinct()
+    return gone.select("record_id", "key", "at", F.when(F.col("spans").isNull(), "never listed").otherwise("not listed then").alias("reason")).distinct()
 
 
 def count_orphans(orphans: DataFrame, *by: str) -> DataFrame:

