@@ -143,7 +143,7 @@ def with_level(parts: DataFrame, level: str, numbers: int, width: float, categor
     means = [(F.sum(F.col(f"m{i}") * F.col("w")) / w).alias(f"m{i}") for i in every]  # within a cell a number is known everywhere or nowhere
     second = [F.sum(F.col(f"q{i}") + F.col("w") * F.col(f"m{i}") * F.col(f"m{i}")).alias(f"s{i}") for i in every]
     y = x.groupBy(*[f"b{i}" for i in every], *[f"c{j}" for j in range(categories)]).agg(w.alias("w"), *means, *second)
-    scatter = [F.greatest(F.col(f"s{i}") - F.col("w") * F.col(f"m{i}") * F.col(f"m{i}"), F.lit(0.0)).alias(f"q{i}") for i in every]
+    scatter = [F.when(F.col(f"s{i}").isNotNull(), F.greatest(F.col(f"s{i}") - F.col("w") * F.col(f"m{i}") * F.col(f"m{i}"), F.lit(0.0))).alias(f"q{i}") for i in every]
     return y.select(*[f"b{i}" for i in every], *[f"c{j}" for j in range(categories)], "w", *[f"m{i}" for i in every], *scatter)
 
 

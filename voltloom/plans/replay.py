@@ -5,28 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltloom.operators.dayahead import issued_persistence
 from voltloom.operators.intervals import best_overlap
 from voltloom.operators.islands import risk_windows
 from voltloom.operators.profile import group_median, household_features
 from voltloom.operators.recommend import spaced_top
-from voltloom.operators.series import seasonal_persistence
 from voltloom.operators.timegrid import resample_covered, supply_margin
 
 
-def day_ahead(grid: DataFrame, *, days: int = 1, safety: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def day_ahead(grid: DataFrame, *, issue_hour: int = 14, safety: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(forecast, windows, recommended) per region and target day.
 
-    forecast: region_id, slot, each power as measured and as forecast from ``days`` days
-    earlier (only from half hours at least 80 percent measured), and both margins. No
-    forecast uses anything of its own day. windows: runs of forecast shortfall;
+    forecast: region_id, slot, each power as measured and as forecast, and both margins. A
+    forecast is issued at ``issue_hour`` of the day before: half hours that had ended by then
+    come from the day before, all others from two days before (only from half hours at least
+    80 percent measured). safety: kilowatts of shortfall that do not count; below zero it is
+    a reserve that must stay. windows: runs of forecast shortfall;
     recommended: at most two spaced windows a region and day.
     """
     powers = ["households_consumption_kw", "steg_production_kw", "pv_production_kw"]
     x = resample_covered(grid, ["region_id"], "ts", powers).select("region_id", "slot", *powers)
-    y = x
-    for p in powers:
-        z = seasonal_persistence(x.select("region_id", "slot", p), ["region_id"], "slot", p, days)
-        y = y.join(z.select("region_id", "slot", F.col("predicted").alias(f"forecast_{p}")), ["region_id", "slot"])
+    y = issued_persistence(x, ["region_id"], "slot", powers, issue_hour=issue_hour)
     y = supply_margin(y, *powers).drop("available_supply_kw").withColumnRenamed("margin_kw", "actual_margin_kw")
     y = supply_margin(y, *[f"forecast_{p}" for p in powers]).drop("available_supply_kw").withColumnRenamed("margin_kw", "forecast_margin_kw")
     y = y.withColumn("day", F.to_date("slot"))

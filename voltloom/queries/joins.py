@@ -11,7 +11,7 @@ from voltloom.operators.islands import run_windows
 from voltloom.operators.profile import event_days, natural_days
 from voltloom.operators.series import keep_last
 from voltloom.operators.timegrid import resample
-from voltloom.queries.common import GRID, grid, rounded
+from voltloom.queries.common import GRID, METERS, grid, meters, rounded
 from voltloom.sources.tables import read
 
 RESPONSES = ("accept", "decline", "no_response")
@@ -56,12 +56,17 @@ def participation_history(spark: SparkSession, d: str) -> DataFrame:
     return x.select("client_id", "event_id", "response", "start_ts", "surcharge_level")
 
 
+def region_meters(spark: SparkSession, d: str) -> DataFrame:
+    """Exported readings with the region of their household."""
+    return meters(spark, d).join(_homes(spark, d).select("client_id", "region_id"), "client_id")
+
+
 def padded_event_readings(spark: SparkSession, d: str) -> DataFrame:
-    """Grid readings from three hours before to three hours after each event of the region, both ends included."""
-    pad = F.expr("INTERVAL '3' HOUR")
+    """Household readings of the event's region from two days before to two days after each event, both ends included."""
+    pad = F.expr("INTERVAL '2' DAY")
     e = _one_event(spark, d).select("event_id", "region_id", (F.col("start_ts") - pad).alias("start"), (F.col("end_ts") + pad + F.expr("INTERVAL '0.000001' SECOND")).alias("end"))
-    x = points_in(grid(spark, d).select("ts", "region_id", "households_consumption_kw"), "ts", e, ["region_id"])
-    return rounded(x.groupBy("event_id").agg(F.count(F.lit(1)).alias("readings"), F.avg("households_consumption_kw").alias("mean_kw")))
+    x = points_in(region_meters(spark, d), "ts", e, ["region_id"])
+    return rounded(x.groupBy("event_id").agg(F.count(F.lit(1)).alias("readings"), F.avg("kw").alias("mean_kw")))
 
 
 def household_enrichment(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +216,7 @@ SQL = {
     "event_table": f"""WITH {EVENTS}, {ANSWERS}, n AS (SELECT event_id, {_R}, count(*) AS invited FROM a WHERE event_id IS NOT NULL GROUP BY 1)
 SELECT event_id, region_id, start_ts, epoch(end_ts - start_ts) / 60 AS minutes, {", ".join(f"coalesce({r}, 0) AS {r}" for r in RESPONSES)}, coalesce(invited, 0) AS invited, round(accept * 100 / nullif(invited, 0), 9) AS accept_pct FROM e LEFT JOIN n USING (event_id)""",
     "participation_history": f"WITH {EVENTS}, {ANSWERS} SELECT a.client_id, a.event_id, a.response, e.start_ts, e.surcharge_level FROM a LEFT JOIN e ON a.event_id = e.event_id WHERE a.client_id IS NOT NULL",
-    "padded_event_readings": f"""WITH {EVENTS}, {GRID} SELECT event_id, count(*) AS readings, round(avg(households_consumption_kw), 9) AS mean_kw FROM g JOIN e ON g.region_id = e.region_id AND ts >= start_ts - INTERVAL 3 HOUR AND ts <= end_ts + INTERVAL 3 HOUR GROUP BY 1""",
+    "padded_event_readings": f"""WITH {EVENTS}, {METERS}, {HOMES} SELECT event_id, count(*) AS readings, round(avg(kw), 9) AS mean_kw FROM m JOIN hi USING (client_id) JOIN e ON hi.region_id = e.region_id AND ts >= start_ts - INTERVAL 2 DAY AND ts <= end_ts + INTERVAL 2 DAY GROUP BY 1""",
     "household_enrichment": f"WITH {HOMES}, {_LAST} SELECT client_id, region_id, has_ac, coalesce(segment, 'Unknown') AS segment, round(coalesce(CASE WHEN NOT isnan(acceptance_rate) THEN acceptance_rate END, 0.5), 9) AS acceptance_rate FROM hi LEFT JOIN l USING (client_id)",
     "as_of_latest": f"""WITH {ANSWERS}, {SNAPS} SELECT response_id, snapshot_id, segment FROM a JOIN (SELECT DISTINCT client_id, as_of, snapshot_id, segment FROM sn) sn USING (client_id) WHERE as_of <= recorded_at
 QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY as_of DESC, snapshot_id DESC, segment DESC NULLS LAST) = 1""",

@@ -15,7 +15,7 @@ from voltloom.operators.recommend import spaced_top, window_around_peak
 from voltloom.operators.series import keep_last, lags, rolling_before, seasonal_persistence
 from voltloom.operators.timegrid import resample, slot_index
 from voltloom.queries.common import DAILY, FEEDER, GRID, HALF, METERS, daily, feeder, grid, half_hours, meters, rounded
-from voltloom.queries.joins import ANSWERS, EVENTS, HOMES, SNAPS, _answers, _homes, _one_event
+from voltloom.queries.joins import ANSWERS, EVENTS, HOMES, SNAPS, _answers, _homes, _one_event, region_meters
 from voltloom.sources.tables import read
 
 # Fixed value: kilowatts above which an exported reading is a spike.
@@ -109,13 +109,13 @@ def segment_load_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_savings(spark: SparkSession, d: str) -> DataFrame:
-    """Ratio estimate of what accepters saved: an event's day against the same half hours of the day before."""
-    e = _one_event(spark, d).select("event_id", F.to_date("start_ts").alias("day"))
-    x = read(spark, d, "partition_data").select("client_id", F.to_date("timestamp").alias("day"), measured(F.col("aggregate_w"), POWER_STAND_INS).alias("w")).where("w between 0 and 100000")
-    day = x.groupBy("client_id", "day").agg(F.avg("w").alias("kwh"))
+    """Ratio estimate of what accepters saved: the week from an event's day on against the week before it."""
+    e = _one_event(spark, d).select("event_id", F.to_date("start_ts").alias("start"))
+    daily = meters(spark, d).groupBy("client_id", F.to_date("ts").alias("day")).agg(F.avg("kw").alias("kwh"))
     seg = _homes(spark, d).select("client_id", F.when(F.col("has_ac"), "cooled").otherwise("other").alias("segment"))
     a = _answers(spark, d).where("client_id is not null and event_id is not null").groupBy("event_id", "client_id").agg(F.max("response").alias("response"))
-    y = a.join(e, "event_id").join(day.withColumnRenamed("kwh", "actual_kwh"), ["client_id", "day"]).join(day.select("client_id", F.date_add("day", 1).alias("day"), F.col("kwh").alias("pre_kwh")), ["client_id", "day"])
+    asked = a.join(e, "event_id").withColumn("day", F.explode(F.sequence(F.date_sub("start", 7), F.date_add("start", 6))))
+    y = asked.join(daily, ["client_id", "day"]).groupBy("event_id", "client_id", "response").agg(F.avg(F.when(F.col("day") < F.col("start"), F.col("kwh"))).alias("pre_kwh"), F.avg(F.when(F.col("day") >= F.col("start"), F.col("kwh"))).alias("actual_kwh"))
     return rounded(savings(y.join(seg, "client_id")), 6)
 
 
@@ -192,10 +192,10 @@ def risk_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_window_energy(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of the event's region inside each event: count, missing values and energy."""
+    """Household readings of the event's region inside each event: count, households and energy of the minutes read."""
     e = _one_event(spark, d).select("event_id", "region_id", F.col("start_ts").alias("start"), F.col("end_ts").alias("end"))
-    x = points_in(grid(spark, d).select("ts", "region_id", "households_consumption_kw"), "ts", e, ["region_id"])
-    return rounded(x.groupBy("event_id").agg(F.count(F.lit(1)).alias("readings"), F.count_if(F.col("households_consumption_kw").isNull()).alias("missing"), (F.sum("households_consumption_kw") / 60).alias("energy_kwh")))
+    x = points_in(region_meters(spark, d), "ts", e, ["region_id"])
+    return rounded(x.groupBy("event_id").agg(F.count(F.lit(1)).alias("readings"), F.count_distinct("client_id").alias("households"), (F.sum("kw") / 60).alias("energy_kwh")))
 
 
 def eligible_days(spark: SparkSession, d: str) -> DataFrame:
@@ -298,9 +298,11 @@ x AS (SELECT client_id, segment, m, round(CASE WHEN m > 0 THEN (v / m - 1) * 100
 SELECT client_id, segment, round(m, 9) AS group_median, p AS vs_group_pct, CASE WHEN p IS NULL THEN 'unknown' WHEN p > 5 THEN 'above' WHEN p < -5 THEN 'below' ELSE 'same' END AS compared, p IS NULL AS empty FROM x""",
     "segment_load_profiles": f"""WITH {HALF}, {_SN.format(c="segment", w=" WHERE segment IS NOT NULL")}, x AS (SELECT segment, slot, avg(kw) AS kw FROM h JOIN sn USING (client_id) GROUP BY 1, 2)
 SELECT segment, {_SEASON.format(t="slot")} AS season, CASE WHEN isodow(slot) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, CAST(hour(slot) * 2 + minute(slot) // 30 AS INTEGER) AS slot_index, round(avg(kw), 9) AS mean_kw, count(*) AS slots FROM x GROUP BY 1, 2, 3, 4""",
-    "event_savings": f"""WITH {EVENTS}, {ANSWERS}, {HOMES}, dy AS (SELECT client_id, CAST("timestamp" AS DATE) AS day, avg(aggregate_w) AS kwh FROM partition_data WHERE aggregate_w BETWEEN 0 AND 100000 AND aggregate_w NOT IN {_STAND} GROUP BY 1, 2),
+    "event_savings": f"""WITH {EVENTS}, {ANSWERS}, {HOMES}, {METERS}, dy AS (SELECT client_id, CAST(ts AS DATE) AS day, avg(kw) AS kwh FROM m GROUP BY 1, 2),
 r AS (SELECT event_id, client_id, max(response) AS response FROM a WHERE client_id IS NOT NULL AND event_id IS NOT NULL GROUP BY 1, 2),
-x AS (SELECT r.event_id, CASE WHEN has_ac THEN 'cooled' ELSE 'other' END AS segment, coalesce(response = 'accept', false) AS took, p.kwh AS pre, c.kwh AS act FROM r JOIN e ON r.event_id = e.event_id JOIN dy c ON c.client_id = r.client_id AND c.day = CAST(e.start_ts AS DATE) JOIN dy p ON p.client_id = r.client_id AND p.day = CAST(e.start_ts AS DATE) - 1 JOIN hi ON hi.client_id = r.client_id),
+w AS (SELECT r.event_id, r.client_id, r.response, avg(kwh) FILTER (WHERE day < CAST(e.start_ts AS DATE)) AS pre, avg(kwh) FILTER (WHERE day >= CAST(e.start_ts AS DATE)) AS act
+  FROM r JOIN e ON r.event_id = e.event_id JOIN dy ON dy.client_id = r.client_id AND day BETWEEN CAST(e.start_ts AS DATE) - 7 AND CAST(e.start_ts AS DATE) + 6 GROUP BY 1, 2, 3),
+x AS (SELECT event_id, CASE WHEN has_ac THEN 'cooled' ELSE 'other' END AS segment, coalesce(response = 'accept', false) AS took, pre, act FROM w JOIN hi USING (client_id) WHERE pre IS NOT NULL AND act IS NOT NULL),
 s AS (SELECT event_id, segment, count(*) FILTER (WHERE took) AS accepters, count(*) FILTER (WHERE NOT took) AS peers, sum(pre) FILTER (WHERE took) AS ap, sum(act) FILTER (WHERE took) AS aa, sum(pre) FILTER (WHERE NOT took) AS pp, sum(act) FILTER (WHERE NOT took) AS pa FROM x GROUP BY 1, 2),
 v AS (SELECT event_id, sum(act) / nullif(sum(pre), 0) AS er FROM x WHERE NOT took GROUP BY 1)
 SELECT s.event_id, segment, accepters, peers, CASE WHEN peers > 0 THEN 'segment' ELSE 'event_fallback' END AS source, round(coalesce(CASE WHEN peers > 0 THEN pa / nullif(pp, 0) END, er) * ap, 6) AS baseline_kwh, round(aa, 6) AS actual_kwh,
@@ -314,7 +316,7 @@ s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) * (sum(n) - 1) / 2 AS t FROM n),
 SELECT round((s - r * c / t) / ((r + c) / 2 - r * c / t), 9) AS ari FROM s, r, c""",
     "risk_scores": f"""WITH {FEEDER}, x AS (SELECT *, avg(value) OVER w AS m, count(value) OVER w AS n FROM f WINDOW w AS (ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
 y AS (SELECT ts, CAST(CASE WHEN value > round(m, 6) THEN 2 ELSE 0 END + CASE WHEN hour(ts) BETWEEN 17 AND 21 THEN 1 ELSE 0 END + CASE WHEN isodow(ts) <= 5 THEN 1 ELSE 0 END AS INTEGER) AS score FROM x WHERE n = 24) SELECT ts, score, score >= 3 AS candidate FROM y""",
-    "event_window_energy": f"WITH {EVENTS}, {GRID} SELECT event_id, count(*) AS readings, count(*) FILTER (WHERE households_consumption_kw IS NULL) AS missing, round(sum(households_consumption_kw) / 60, 9) AS energy_kwh FROM g JOIN e ON g.region_id = e.region_id AND ts >= start_ts AND ts < end_ts GROUP BY 1",
+    "event_window_energy": f"WITH {EVENTS}, {METERS}, {HOMES} SELECT event_id, count(*) AS readings, count(DISTINCT client_id) AS households, round(sum(kw) / 60, 9) AS energy_kwh FROM m JOIN hi USING (client_id) JOIN e ON hi.region_id = e.region_id AND ts >= start_ts AND ts < end_ts GROUP BY 1",
     "eligible_days": f"WITH {_G30} SELECT region_id, CAST(slot AS DATE) AS day, count(kw) AS slots, count(kw) >= 40 AS eligible FROM q GROUP BY 1, 2",
     "daily_vectors": f"WITH {_G30} SELECT region_id, CAST(slot AS DATE) AS day, CAST(count(*) AS INTEGER) AS slots, CAST(min(hour(slot) * 2 + minute(slot) // 30) AS INTEGER) AS first_slot, CAST(max(hour(slot) * 2 + minute(slot) // 30) AS INTEGER) AS last_slot, round(sum(round(kw, 6)), 9) AS total FROM q WHERE kw IS NOT NULL GROUP BY 1, 2",
     "quarter_hours": f"""WITH x AS (SELECT client_id, time_bucket(INTERVAL 15 MINUTE, "timestamp") AS slot, CASE WHEN NOT isnan(aggregate_w) AND aggregate_w NOT IN {_STAND} AND aggregate_w BETWEEN 0 AND 15000 THEN aggregate_w END AS w FROM partition_data)

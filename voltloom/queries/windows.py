@@ -56,9 +56,10 @@ def region_risk_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_flag_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of the event flag per region: half hours with any flagged minute."""
-    x = resample(grid(spark, d), ["region_id"], "ts", [], ["is_dr_event"], energy=False)
-    return run_windows(x, ["region_id"], "slot", F.col("is_dr_event") == 1).drop("run")
+    """Windows of the event flag per household: half hours with any flagged reading."""
+    x = read(spark, d, "partition_data").select("client_id", F.col("timestamp").alias("ts"), F.col("dr_event").cast("int").alias("dr_event")).where("client_id is not null")
+    x = resample(x, ["client_id"], "ts", [], ["dr_event"], energy=False)
+    return run_windows(x, ["client_id"], "slot", F.col("dr_event") == 1).drop("run")
 
 
 def missing_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +204,9 @@ def _roll(x: str, w: str, n: int) -> str:
 SQL = {
     "negative_margin_runs": f"WITH {DAILY}, v AS (SELECT 1 AS k, day AS t, greatest(-margin, 0) AS def FROM d), {_RISK.format(key='', m=1440, h=24, r=6)}",
     "region_risk_windows": f"WITH {_GRID30}, v AS (SELECT region_id AS k, slot AS t, CASE WHEN s + p - c IS NOT NULL THEN greatest(-round(s + p - c - 10, 6), 0) END AS def FROM q), {_RISK.format(key='k AS region_id, ', m=30, h=0.5, r=9)}",
-    "event_flag_windows": f"WITH {_GRID30}, v AS (SELECT region_id AS k, slot AS t, coalesce(e = 1, false) AS c FROM q), {_RUNS.format(key='region_id', m=30)}",
+    "event_flag_windows": f"""WITH a AS (SELECT client_id, time_bucket(INTERVAL 30 MINUTE, "timestamp") AS slot, max(CAST(dr_event AS INT)) AS e FROM partition_data WHERE client_id IS NOT NULL GROUP BY 1, 2),
+sp AS (SELECT client_id, unnest(generate_series(min(slot), max(slot), INTERVAL 30 MINUTE)) AS slot FROM a GROUP BY 1), q AS (SELECT * FROM sp LEFT JOIN a USING (client_id, slot)),
+v AS (SELECT client_id AS k, slot AS t, coalesce(e = 1, false) AS c FROM q), {_RUNS.format(key='client_id', m=30)}""",
     "missing_runs": f"WITH {_HOURLY}, v AS (SELECT client_id AS k, slot AS t, kw IS NULL AS c FROM h), {_RUNS.format(key='client_id', m=60)}",
     "frozen_runs": f"""WITH {_P}, o AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY ts) - row_number() OVER (PARTITION BY client_id, w ORDER BY ts) AS g FROM p WHERE w IS NOT NULL),
 c AS (SELECT client_id, count(*) OVER (PARTITION BY client_id, w, g) AS n FROM o) SELECT client_id, count(*) AS frozen_readings, max(n) AS longest FROM c WHERE n >= 20 GROUP BY 1""",
