@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voltloom.operators.islands import equal_runs
 from voltloom.sources.files import detect_columns, digest, extract_member, file_inventory, parquet_inventory, read_csv, read_meters, require_files
-from voltloom.sources.sinks import json_safe, replace_table, write_csv, write_parquet
+from voltloom.sources.sinks import append_table, json_safe, replace_table, table_checksum, write_csv, write_delta_times, write_parquet
 from voltloom.streaming.power import drain, streaming_equal_runs
 
 
@@ -35,7 +35,7 @@ def test_meter_scan_pushes_filters(spark, tmp_path):
     assert sum(r.rows for r in parquet_inventory(spark, [path]).collect()) == 3
     assert file_inventory(spark, [path, path + "?"]).where("not exists").count() == 1
     with pytest.raises(FileNotFoundError):
-        require_files([path, "/nowhere"])
+        require_files(spark, [path, "/nowhere"])
 
 
 def test_archive_members_stay_inside(tmp_path):
@@ -64,3 +64,29 @@ def test_streamed_runs_equal_batch_runs(spark, tmp_path):
     assert sorted((r.k, r.value, r.length) for r in got.collect()) == [("a", 2.0, 25), ("a", 4.0, 20), ("b", 2.0, 25), ("b", 4.0, 20)]
     batch = equal_runs(spark.read.parquet(path), ["k"], "t", "v", 20).where("frozen").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
     assert sorted((r.k, r.v, r.n) for r in batch.collect()) == sorted((r.k, r.value, r.length) for r in got.collect())
+
+
+def test_replacing_a_table_verifies_and_keeps_a_backup(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first, second = spark.range(10), spark.range(5, 30).repartition(3)
+    assert replace_table(first, path).first().backup is None
+    m = replace_table(second, path, keep_backup=True).first()
+    assert (m.path, m.rows) == (path, 25) and spark.read.parquet(m.backup).count() == 10
+    assert m.checksum == table_checksum(spark.range(5, 30)).first().checksum == table_checksum(spark.read.parquet(path)).first().checksum
+    append_table(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 28
+    assert table_checksum(first.limit(0)).first().rows == 0
+
+
+def test_times_are_written_as_differences(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "d")
+    df = spark.range(5000).selectExpr("cast(timestamp_seconds(1700000000 + id * 60) as timestamp_ntz) as ts", "cast(id % 7 as double) as v")
+    write_delta_times(df, path, ["ts"], ["ts"])
+    meta = pq.read_metadata(sorted(glob.glob(path + "/*.parquet"))[0]).row_group(0)
+    encodings = {meta.column(i).path_in_schema: meta.column(i).encodings for i in range(2)}
+    assert "DELTA_BINARY_PACKED" in encodings["ts"] and "DELTA_BINARY_PACKED" not in encodings["v"]
+    assert spark.read.parquet(path).exceptAll(df).count() == 0

@@ -13,7 +13,7 @@ def normalised_text(text: Column) -> Column:
 
 
 def find_keyword(text: Column, keywords: dict[str, list[str]], otherwise: str) -> Column:
-    """The first label (in order) one of whose keywords occurs; keywords of up to three letters must be whole words."""
+    """The first label (in order) one of whose keywords occurs; keywords of up to three letters, or with blanks around, must be whole words."""
     t = normalised_text(text)
     out = None
     for label, words in keywords.items():

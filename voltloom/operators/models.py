@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltloom.operators.ordering import order_statistics, value_counts
+from voltloom.session import cut
+
 
 def ridge_fit(df: DataFrame, features: Sequence[str], targets: Sequence[str], alpha: float) -> dict:
     """Ridge on standardised features (population deviation), intercept not penalised, from one pass of sums of products."""
@@ -57,8 +60,9 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, seeds: Sequence[int]
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    mids = df.agg(*[F.percentile(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.5)).alias(c) for c in features]).first()
-    x = df.select("*", *[F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(mids[c] or 0.0)).alias(f"_f_{c}") for c in features])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("s")).select("s.*")
+    mids = {r["feature"]: r["value"] for r in order_statistics(cut(value_counts(long, ["feature"], F.col("x"))), "feature", [0.5]).collect()}  # a row a feature
+    x = df.select("*", *[F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(mids.get(c) or 0.0)).alias(f"_f_{c}") for c in features])
     row = x.agg(*[a for c in features for a in (F.avg(f"_f_{c}"), F.stddev_pop(f"_f_{c}"))]).first()
     for i, c in enumerate(features):
         x = x.withColumn(f"_f_{c}", (F.col(f"_f_{c}") - (row[2 * i] or 0.0)) / (row[2 * i + 1] or 1.0))

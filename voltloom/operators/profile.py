@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltloom.operators.joins import lookup_join
+from voltloom.operators.ordering import order_statistics, value_counts
+from voltloom.session import cut
+
 
 def natural_days(df: DataFrame, day: str, event_days: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Without the days that an event (of the same keys) touches (anti-join on keys and date)."""
@@ -65,10 +69,14 @@ def month_position(daily: DataFrame, client: str, day: str, kwh: str, as_of: Col
 
 
 def group_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Adds the group's median and the row's difference from it in percent; NaN counts as missing."""
+    """Adds the group's median and the row's difference from it in percent; NaN counts as missing, a null group has no median.
+
+    Medians come from counted values sorted in ranges, so a group may hold any share of the rows.
+    """
     v = F.nanvl(F.col(value), F.lit(None).cast("double"))
-    mid = df.groupBy(group).agg(F.percentile(v, F.lit(0.5)).alias("group_median"))
-    x = df.join(mid, group, "left")
+    counts = cut(value_counts(df.where(F.col(group).isNotNull()), [group], v))
+    mid = order_statistics(counts, group, [0.5]).select(group, F.col("value").alias("group_median"))
+    x = lookup_join(df, mid, [group])
     return x.withColumn("vs_group_pct", F.when(F.col("group_median") > 0, (v / F.col("group_median") - 1) * 100))
 
 

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltloom.operators.ordering import order_statistics, value_counts
+from voltloom.session import cut
+
 
 def hourly_energy(df: DataFrame, keys: Sequence[str], ts: str, watts: str, minutes: int = 60) -> DataFrame:
     """valid minutes, coverage and energy of the valid ones per key and hour; energy is null where none is valid."""
@@ -52,7 +55,9 @@ def channel_transforms(df: DataFrame, channels: Mapping[str, Column], cap: float
     """Per channel: cap (quantile), mean, population deviation and active share of its known values."""
     parts = [F.struct(F.lit(n).alias("channel"), c.cast("double").alias("v")) for n, c in channels.items()]
     x = df.select(F.explode(F.array(*parts)).alias("s")).select("s.*").where("v is not null and abs(v) < 1e300")
-    return x.groupBy("channel").agg(F.count("v").alias("known"), F.percentile("v", F.lit(cap)).alias("cap"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.avg((F.col("v") >= threshold).cast("double")).alias("active"))
+    caps = order_statistics(cut(value_counts(x, ["channel"], F.col("v"))), "channel", [cap]).select("channel", F.col("value").alias("cap"))
+    y = x.groupBy("channel").agg(F.count("v").alias("known"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.avg((F.col("v") >= threshold).cast("double")).alias("active"))
+    return y.join(F.broadcast(caps), "channel")  # a row a channel
 
 
 def zscores(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.functions.columns import micros
+from voltloom.operators.ordering import bucket_of, running_totals, split_points
 
 
 def _w(keys: Sequence[str], order: str):
@@ -40,22 +42,6 @@ def clipped_difference(value: str, keys: Sequence[str], order: str, cap: float,
     return F.greatest(F.least(d, F.lit(cap)), F.lit(-cap)) / scale
 
 
-def time_gap(ts: str, keys: Sequence[str], seconds: int = 60) -> Column:
-    """Whether the row does not follow its predecessor by exactly ``seconds`` (false for the first row)."""
-    step = micros(ts) - F.lag(micros(ts)).over(_w(keys, ts))
-    return F.coalesce(step != seconds * 1_000_000, F.lit(False))
-
-
-def context_validity(df: DataFrame, keys: Sequence[str], order: str, reasons: Sequence[tuple[str, Column]], length: int = 256) -> DataFrame:
-    """Adds ``context_status``: 'valid', 'short' for too few rows before, or the first reason (in order) that holds anywhere in the last ``length`` rows."""
-    w = _w(keys, order)
-    x = df.select("*", *[F.coalesce(c, F.lit(False)).cast("int").alias(f"_r{i}") for i, (_, c) in enumerate(reasons)])
-    status = F.when(F.row_number().over(w) < length, "short")
-    for i, (name, _) in enumerate(reasons):
-        status = status.when(F.sum(f"_r{i}").over(w.rowsBetween(-(length - 1), 0)) > 0, name)
-    return x.withColumn("context_status", status.otherwise("valid")).drop(*[f"_r{i}" for i in range(len(reasons))])
-
-
 def forward_hours(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Adds ``hours`` to the next row; the key's median where there is none or it is not positive."""
     step = (F.lead(micros(ts)).over(_w(keys, ts)) - micros(ts)) / 3.6e9
@@ -79,12 +65,13 @@ def seasonal_persistence(df: DataFrame, keys: Sequence[str], ts: str, value: str
     return df.join(old, [*keys, ts], "left")
 
 
-def history_median(df: DataFrame, keys: Sequence[str], day: str, slot: str, value: str, kind: str | None = None, days: int = 28) -> DataFrame:
-    """Adds ``history_median``: the median of the same slot over the ``days`` days before (of the same kind of day)."""
-    on = [*keys, slot, *([kind] if kind else [])]
-    past = df.where(F.col(value).isNotNull()).select(*on, F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days))).alias(day), F.col(value).alias("_v"))
-    mid = past.groupBy(*on, day).agg(F.percentile("_v", F.lit(0.5)).alias("history_median"))
-    return df.join(mid, [*on, day], "left")
+def history_median(df: DataFrame, keys: Sequence[str], day: str, slot: str, value: str, kind: str | None = None) -> DataFrame:
+    """Adds ``history_median``: the median of the same slot over all days before (of the same kind of day).
+
+    One growing frame per key and slot, which holds a value a day.
+    """
+    w = Window.partitionBy(*keys, slot, *([kind] if kind else [])).orderBy(F.datediff(day, F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("history_median", F.percentile(value, F.lit(0.5)).over(w))
 
 
 def dynamic_threshold(df: DataFrame, keys: Sequence[str], order: str, value: str, length: int = 168, factor: float = 2.0) -> DataFrame:
@@ -113,10 +100,27 @@ def drop_repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
 
 
-def rank_quartile(df: DataFrame, keys: Sequence[str], value: str, tie: str, labels: Sequence[str]) -> DataFrame:
-    """Adds ``band``: quantile bands of the ranks (cut points between ranks, so not ntile)."""
+def rank_quartile(df: DataFrame, keys: Sequence[str], value: str, tie: str, labels: Sequence[str], plain: str | None = None) -> DataFrame:
+    """Adds ``band``: quantile bands of the ranks (cut points between ranks, so not ntile).
+
+    keys: few enough rows a key for one task; without keys all rows are ranked together, by
+    a distributed sort. plain: the label of all where there are fewer distinct values than labels.
+    """
     n = len(labels)
-    w = Window.partitionBy(*keys).orderBy(value, tie)
-    r, c = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    k = F.greatest(F.ceil((r - 1) * n / F.greatest(c - 1, F.lit(1))), F.lit(1)).cast("int")
-    return df.withColumn("band", F.element_at(F.array(*[F.lit(x) for x in labels]), k))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(value, tie)
+        x = df.withColumn("_r", F.row_number().over(w)).withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    else:
+        pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        v = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))
+        x = df.withColumn("_v", v).withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1))
+        points = [p for p in split_points(x, "_v", pieces) if math.isfinite(p)]
+        x = running_totals(x.withColumn("_bucket", bucket_of(F.col("_v"), points)), "_all", "_bucket", ["_v", tie], "_one")
+        x = x.withColumnsRenamed({"upto": "_r", "whole": "_c"}).drop("_v", "_all", "_one", "_bucket")
+    k = F.greatest(F.ceil((F.col("_r") - 1) * n / F.greatest(F.col("_c") - 1, F.lit(1))), F.lit(1)).cast("int")
+    band = F.element_at(F.array(*[F.lit(x) for x in labels]), k)
+    if plain is not None:
+        few = df.groupBy(*keys).agg((F.count_distinct(value) < n).alias("_few"))
+        x = x.join(few, list(keys)) if keys else x.join(F.broadcast(few), F.lit(True))  # one row
+        band = F.when(F.col("_few"), F.lit(plain)).otherwise(band)
+    return x.withColumn("band", band).drop("_r", "_c", "_few")

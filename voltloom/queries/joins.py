@@ -9,6 +9,7 @@ from voltloom.functions.columns import POWER_STAND_INS, canonical_id, measured,
 from voltloom.operators.intervals import best_overlap, mark, points_in
 from voltloom.operators.islands import run_windows
 from voltloom.operators.profile import event_days, natural_days
+from voltloom.operators.runs import as_of
 from voltloom.operators.series import keep_last
 from voltloom.operators.timegrid import resample
 from voltloom.queries.common import GRID, METERS, grid, meters, rounded
@@ -81,8 +82,8 @@ def as_of_latest(spark: SparkSession, d: str) -> DataFrame:
     """For each answer the household's latest snapshot at or before it."""
     s = read(spark, d, "household_segments").select(canonical_id("client_id").alias("client_id"), "as_of", "snapshot_id", "segment").where("client_id is not null").distinct()
     a = _answers(spark, d).where("client_id is not null").select("response_id", "client_id", "recorded_at")
-    x = a.join(s, ["client_id"]).where("as_of <= recorded_at")
-    return x.groupBy("response_id").agg(F.max(F.struct("as_of", "snapshot_id", "segment")).alias("s")).select("response_id", "s.snapshot_id", "s.segment")
+    x = as_of(a, s, "client_id", "recorded_at", "as_of", ["snapshot_id", "segment"])
+    return x.where("snapshot_id is not null").select("response_id", "snapshot_id", "segment")
 
 
 def segment_ownership(spark: SparkSession, d: str) -> DataFrame:

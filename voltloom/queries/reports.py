@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voltloom.functions.columns import POWER_STAND_INS, canonical_id, measured
 from voltloom.operators.metrics import regression
 from voltloom.operators.reports import append_missing, channel_transforms, chronological_split, ensemble, even_subset, hourly_energy, latest_values, ranked_picks, select_candidate, weekly_counts, zscores
+from voltloom.operators.runs import as_of
 from voltloom.operators.series import keep_last, seasonal_persistence
 from voltloom.operators.timegrid import resample, supply_margin
 from voltloom.queries.common import DAILY, GRID, HALF, POWERS, daily, grid, half_hours, meters, rounded
@@ -110,8 +111,8 @@ def segment_response_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Answers by the segment the household had when it answered."""
     s = read(spark, d, "household_segments").select(canonical_id("client_id").alias("client_id"), "as_of", "snapshot_id", "segment").where("client_id is not null").distinct()
     a = _answers(spark, d).where("client_id is not null")
-    x = a.join(s, "client_id").where("as_of <= recorded_at").groupBy("response_id", "response").agg(F.max(F.struct("as_of", "snapshot_id", "segment")).alias("s"))
-    return x.groupBy("s.segment").agg(*[F.count_if(F.col("response") == r).alias(r) for r in ("accept", "decline", "no_response")])
+    x = as_of(a, s, "client_id", "recorded_at", "as_of", ["snapshot_id", "segment"]).where("snapshot_id is not null")
+    return x.groupBy("segment").agg(*[F.count_if(F.col("response") == r).alias(r) for r in ("accept", "decline", "no_response")])
 
 
 def peak_share_by_segment(spark: SparkSession, d: str) -> DataFrame:

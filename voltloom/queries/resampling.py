@@ -39,7 +39,7 @@ def causal_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def causal_household(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly household means kept where a tenth of the minutes is measured, then filled from the past."""
+    """Hourly household means kept where at least two of the sixty minutes are measured, as the export is thinned, then filled from the past."""
     x = resample_covered(meters(spark, d), ["client_id"], "ts", ["kw"], minutes=60, least=0.02)
     return rounded(x.withColumn("filled_kw", forward_fill(F.col("kw"), ["client_id"], "slot")))
 

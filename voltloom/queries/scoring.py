@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.functions.columns import POWER_STAND_INS, canonical_id, measured
-from voltloom.functions.text import normalised_text
+from voltloom.functions.text import find_keyword
 from voltloom.operators import models
 from voltloom.operators.intervals import points_in
 from voltloom.operators.metrics import adjusted_rand, confusion, forecast_errors, forecast_kpis, regression, rollups, stratified, top_slots_error
@@ -71,7 +71,10 @@ def stratified_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_features(spark: SparkSession, d: str) -> DataFrame:
-    """Yearly energy, peak, base load, load factor and evening share; cooling slope on hot days of the region."""
+    """Yearly energy, peak, base load, load factor and evening share; cooling slope over days above 15 degrees.
+
+    The export is thinned, so a day counts as full from 8 of its 48 half hours, and the slope needs 5 such days.
+    """
     heat = grid(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("temperature_c"), 6).alias("t"))
     x = half_hours(spark, d).withColumn("day", F.to_date("slot")).join(heat, "day", "left")
     return rounded(household_features(x, "client_id", "slot", "kw", "t", least_slots=8, hot=15.0, least_days=5))
@@ -99,7 +102,7 @@ def evening_comparison(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "household_segments").select(canonical_id("client_id").alias("client_id"), "as_of", "snapshot_id", "segment", "usual_evening_kwh").where("client_id is not null and segment is not null")
     x = keep_last(s, ["client_id"], F.col("as_of"), F.col("snapshot_id"))
     y = group_median(x, "segment", "usual_evening_kwh").select("client_id", "segment", "group_median", F.round("vs_group_pct", 6).alias("vs_group_pct"))
-    return rounded(y.withColumn("compared", F.when(F.col("vs_group_pct").isNull(), "unknown").when(F.col("vs_group_pct") > 5, "above").when(F.col("vs_group_pct") < -5, "below").otherwise("same")).withColumn("empty", comparison_text(F.col("vs_group_pct")) == ""))
+    return rounded(y.withColumn("compared", F.when(F.col("vs_group_pct").isNull(), "unknown").when(F.col("vs_group_pct") > 5, "above").when(F.col("vs_group_pct") < -5, "below").otherwise("same")).withColumn("empty", comparison_text(F.col("vs_group_pct")) == "").withColumn("says", F.regexp_replace(comparison_text(F.col("vs_group_pct")), "[0-9]+", "n")))
 
 
 def segment_load_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -214,8 +217,7 @@ def daily_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def text_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Posts whose normalised text mentions the meter, the bill or the tariff as whole words."""
-    t = normalised_text(F.col("text"))
-    topic = F.when(F.contains(t, F.lit(" meter ")), "meter").when(F.contains(t, F.lit(" bill ")), "bill").when(F.contains(t, F.lit(" tariff ")), "tariff").otherwise("other")
+    topic = find_keyword(F.col("text"), {t: [f" {t} "] for t in ("meter", "bill", "tariff")}, "other")
     return read(spark, d, "documents").groupBy(topic.alias("topic")).agg(F.count(F.lit(1)).alias("posts"))
 
 
@@ -295,7 +297,8 @@ y AS (SELECT client_id, as_of, el, n, coalesce(sum(kwh) FILTER (WHERE day >= f),
 SELECT client_id, as_of, round(mtd, 9) AS month_to_date_kwh, round(CASE WHEN el < 3 THEN r * n ELSE mtd + mtd / el * (n - el) END, 9) AS projected_month_kwh FROM y""",
     "evening_comparison": f"""WITH {_SN.format(c="segment, CASE WHEN NOT isnan(usual_evening_kwh) THEN usual_evening_kwh END AS v", w=" WHERE segment IS NOT NULL")}, md AS (SELECT segment, quantile_cont(v, 0.5) AS m FROM sn WHERE client_id IS NOT NULL GROUP BY 1),
 x AS (SELECT client_id, segment, m, round(CASE WHEN m > 0 THEN (v / m - 1) * 100 END, 6) AS p FROM sn JOIN md USING (segment) WHERE client_id IS NOT NULL)
-SELECT client_id, segment, round(m, 9) AS group_median, p AS vs_group_pct, CASE WHEN p IS NULL THEN 'unknown' WHEN p > 5 THEN 'above' WHEN p < -5 THEN 'below' ELSE 'same' END AS compared, p IS NULL AS empty FROM x""",
+SELECT client_id, segment, round(m, 9) AS group_median, p AS vs_group_pct, CASE WHEN p IS NULL THEN 'unknown' WHEN p > 5 THEN 'above' WHEN p < -5 THEN 'below' ELSE 'same' END AS compared, p IS NULL AS empty,
+  CASE WHEN p IS NULL THEN '' WHEN abs(p) <= 5 THEN 'about the same as similar households' WHEN p > 0 THEN 'n% above similar households' ELSE 'n% below similar households' END AS says FROM x""",
     "segment_load_profiles": f"""WITH {HALF}, {_SN.format(c="segment", w=" WHERE segment IS NOT NULL")}, x AS (SELECT segment, slot, avg(kw) AS kw FROM h JOIN sn USING (client_id) GROUP BY 1, 2)
 SELECT segment, {_SEASON.format(t="slot")} AS season, CASE WHEN isodow(slot) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, CAST(hour(slot) * 2 + minute(slot) // 30 AS INTEGER) AS slot_index, round(avg(kw), 9) AS mean_kw, count(*) AS slots FROM x GROUP BY 1, 2, 3, 4""",
     "event_savings": f"""WITH {EVENTS}, {ANSWERS}, {HOMES}, {METERS}, dy AS (SELECT client_id, CAST(ts AS DATE) AS day, avg(kw) AS kwh FROM m GROUP BY 1, 2),

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voltloom.functions.columns import POWER_STAND_INS, measured
+from voltloom.functions.columns import POWER_STAND_INS, measured, micros
 from voltloom.operators.fill import backward_fill, forward_fill, interpolations
-from voltloom.operators.islands import equal_runs, risk_windows, run_windows, true_runs
+from voltloom.operators.islands import risk_windows, run_windows, true_runs
+from voltloom.operators.runs import equal_run_lengths, previous_values, trailing_status
 from voltloom.operators.series import (
     centered_mean,
     clipped_difference,
-    context_validity,
     drop_repeated,
     dynamic_threshold,
     forward_hours,
@@ -24,7 +23,6 @@ from voltloom.operators.series import (
     rolling_before,
     seasonal_persistence,
     standardise_context,
-    time_gap,
 )
 from voltloom.operators.timegrid import day_type, densify, resample, slot_index, supply_margin
 from voltloom.queries.common import DAILY, FEEDER, GRID, HALF, METERS, POWERS, daily, feeder, grid, half_hours, meters, one, rounded
@@ -67,13 +65,16 @@ def missing_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frozen_runs(spark: SparkSession, d: str) -> DataFrame:
-    x = equal_runs(_partition(spark, d).where("w is not null"), ["client_id"], "ts", "w", 20).where("frozen")
-    return x.groupBy("client_id").agg(F.count(F.lit(1)).alias("frozen_readings"), F.max("run_length").alias("longest"))
+    """Readings in runs of at least 20 equal ones, and the longest run, per household."""
+    x = equal_run_lengths(_partition(spark, d).where("w is not null"), ["client_id"], "ts", "w").where("run_length >= 20")
+    return x.groupBy("client_id").agg(F.sum("run_length").alias("frozen_readings"), F.max("run_length").alias("longest"))
 
 
 def time_gaps(spark: SparkSession, d: str) -> DataFrame:
-    x = _partition(spark, d).withColumn("gap", time_gap("ts", ["client_id"]))
-    return x.groupBy("client_id").agg(F.count_if("gap").alias("gaps"), F.count(F.lit(1)).alias("readings"))
+    """Readings that do not follow their predecessor by a minute, per household."""
+    x = previous_values(_partition(spark, d).select("client_id", "ts"), ["client_id"], "ts", ["ts"])
+    gap = F.col("has_prev") & (micros("ts") - micros("prev_ts") != 60_000_000)
+    return x.groupBy("client_id").agg(F.count_if(gap).alias("gaps"), F.count(F.lit(1)).alias("readings"))
 
 
 def clipped_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +85,7 @@ def clipped_diff(spark: SparkSession, d: str) -> DataFrame:
 def quality_context(spark: SparkSession, d: str) -> DataFrame:
     """Readings per household and status of their trailing context of 64 readings."""
     x = read(spark, d, "partition_data").groupBy("client_id", F.col("timestamp").alias("ts")).agg(F.max(measured(F.col("aggregate_w"), POWER_STAND_INS)).alias("w"), F.max(F.coalesce("aggregate_imputed", F.lit(False))).alias("imputed"), F.max(F.coalesce("aggregate_spike", F.lit(False))).alias("spike"))
-    y = context_validity(x, ["client_id"], "ts", [("missing", F.col("w").isNull()), ("imputed", F.col("imputed")), ("spike", F.col("spike"))], 64)
+    y = trailing_status(x, ["client_id"], "ts", [("missing", F.col("w").isNull()), ("imputed", F.col("imputed")), ("spike", F.col("spike"))], 64)
     return y.groupBy("client_id", "context_status").agg(F.count(F.lit(1)).alias("readings"))
 
 
@@ -124,10 +125,10 @@ def persistence_7d(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_medians(spark: SparkSession, d: str) -> DataFrame:
-    """Median of the same half hour over the 14 days before, of all days and of the same kind of day."""
+    """Median of the same half hour over all days before, and over those of the same kind."""
     x = half_hours(spark, d).select("client_id", F.to_date("slot").alias("day"), slot_index(F.col("slot")).alias("slot_index"), day_type(F.col("slot")).alias("kind"), "kw")
-    x = history_median(x, ["client_id"], "day", "slot_index", "kw", days=14).withColumnRenamed("history_median", "median_all")
-    x = history_median(x, ["client_id"], "day", "slot_index", "kw", "kind", 14).withColumnRenamed("history_median", "median_kind")
+    x = history_median(x, ["client_id"], "day", "slot_index", "kw").withColumnRenamed("history_median", "median_all")
+    x = history_median(x, ["client_id"], "day", "slot_index", "kw", "kind").withColumnRenamed("history_median", "median_kind")
     return rounded(x.where("median_all is not null"))
 
 
@@ -157,7 +158,7 @@ def deduplicated(spark: SparkSession, d: str) -> DataFrame:
 
 def usage_quartiles(spark: SparkSession, d: str) -> DataFrame:
     x = half_hours(spark, d).groupBy("client_id").agg(F.round(F.sum("kw") * 0.5, 6).alias("energy_kwh"))
-    return rank_quartile(x.withColumn("all", F.lit(1)), ["all"], "energy_kwh", "client_id", ["low", "medium", "high", "very high"]).drop("all")
+    return rank_quartile(x, [], "energy_kwh", "client_id", ["low", "medium", "high", "very high"], "typical")
 
 
 def activity_transitions(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +166,7 @@ def activity_transitions(spark: SparkSession, d: str) -> DataFrame:
     w = measured(F.get("targets_w", F.lit(0)), POWER_STAND_INS)
     x = read(spark, d, "partition_data").select("client_id", F.col("timestamp").alias("ts"), w.alias("w")).where("w is not null").groupBy("client_id", "ts").agg(F.max("w").alias("w"))
     x = x.withColumn("on", F.col("w") >= 50)
-    x = x.withColumn("change", F.coalesce(F.col("on") != F.lag("on").over(Window.partitionBy("client_id").orderBy("ts")), F.lit(False)))
+    x = previous_values(x, ["client_id"], "ts", ["on"]).withColumn("change", F.col("has_prev") & (F.col("on") != F.col("prev_on")))
     return x.groupBy("client_id").agg(F.count_if("on").alias("active"), F.count_if("change").alias("transitions"), F.count(F.lit(1)).alias("readings"))
 
 
@@ -230,7 +231,7 @@ SELECT client_id, slot, round(coalesce(s, mid), 9) AS hours FROM x JOIN md USING
     "persistence_7d": f"WITH {HALF} SELECT a.client_id, a.slot, round(a.kw, 9) AS kw, round(b.kw, 9) AS predicted FROM h a JOIN h b ON a.client_id = b.client_id AND b.slot = a.slot - INTERVAL 7 DAY",
     "history_medians": f"""WITH {HALF}, x AS (SELECT client_id, CAST(slot AS DATE) AS day, CAST(hour(slot) * 2 + minute(slot) // 30 AS INTEGER) AS slot_index, CASE WHEN isodow(slot) >= 6 THEN 'weekend' ELSE 'weekday' END AS kind, kw FROM h),
 y AS (SELECT a.client_id, a.day, a.slot_index, a.kind, any_value(a.kw) AS kw, quantile_cont(b.kw, 0.5) AS median_all, quantile_cont(b.kw, 0.5) FILTER (WHERE b.kind = a.kind) AS median_kind
-  FROM x a JOIN x b ON a.client_id = b.client_id AND a.slot_index = b.slot_index AND b.day < a.day AND b.day >= a.day - 14 GROUP BY 1, 2, 3, 4)
+  FROM x a JOIN x b ON a.client_id = b.client_id AND a.slot_index = b.slot_index AND b.day < a.day GROUP BY 1, 2, 3, 4)
 SELECT client_id, day, slot_index, kind, round(kw, 9) AS kw, round(median_all, 9) AS median_all, round(median_kind, 9) AS median_kind FROM y""",
     "zscore_context": f"""WITH {FEEDER}, x AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(value) OVER w AS n FROM f WINDOW w AS (ORDER BY ts ROWS 47 PRECEDING))
 SELECT ts, value, round(m, 9) AS context_mean, round(s, 9) AS context_std, round((value - m) / s, 9) AS z FROM x WHERE n = 48 AND s * s >= 1e-8""",

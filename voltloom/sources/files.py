@@ -58,16 +58,23 @@ def extract_member(archive: str, member: str, folder: str) -> str:
         return z.extract(member, folder)
 
 
-def require_files(paths: Sequence[str]) -> None:
-    missing = [p for p in paths if not os.path.exists(p)]
+def _size(spark: SparkSession, path: str) -> int | None:
+    """Bytes under a path on any file system; None where there is nothing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else None
+
+
+def require_files(spark: SparkSession, paths: Sequence[str]) -> None:
+    missing = [p for p in paths if _size(spark, p) is None]
     if missing:
         raise FileNotFoundError("missing: " + ", ".join(missing))
 
 
 def file_inventory(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """path, exists, megabytes."""
-    rows = [(p, os.path.exists(p), sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(p) for f in fs) / 1e6 if os.path.isdir(p) else (os.path.getsize(p) / 1e6 if os.path.exists(p) else None)) for p in paths]
-    return spark.createDataFrame(rows, "path string, exists boolean, megabytes double")
+    sizes = [(p, _size(spark, p)) for p in paths]
+    return spark.createDataFrame([(p, n is not None, None if n is None else n / 1e6) for p, n in sizes], "path string, exists boolean, megabytes double")
 
 
 def parquet_inventory(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

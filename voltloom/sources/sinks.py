@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,11 +35,56 @@ def json_safe(df: DataFrame, offset: str = "+01:00") -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table and renames, so that readers see the old or the new one; the old one is kept until then."""
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+def write_delta_times(df: DataFrame, path: str, times: Sequence[str], order: Sequence[str] = ()) -> None:
+    """Parquet of the second format version, with the listed time columns as differences (DELTA_BINARY_PACKED) instead of dictionaries; sorted files make the differences small."""
+    x = df.sortWithinPartitions(*order) if order else df
+    w = x.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
+    for c in times:
+        w = w.option(f"parquet.enable.dictionary#{c}", "false")
+    w.parquet(path)
+
+
+def append_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Rows added to a table of files; the columns must be those it has."""
+    w = df.write.mode("append")
+    (w.partitionBy(*by) if by else w).parquet(path)
+
+
+def table_checksum(df: DataFrame) -> DataFrame:
+    """rows, checksum: a sum of row hashes, the same in any order and any layout of files."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("checksum"))
+
+
+def _files(spark: SparkSession, path: str):
+    """(the Hadoop path, its file system)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def replace_table(df: DataFrame, path: str, *, keep_backup: bool = False) -> DataFrame:
+    """Writes beside the table, verifies what was written, and renames, so that readers see the old or the new one. Returns the manifest.
+
+    manifest: path, rows, checksum, backup (the path of the old table, kept until the new one
+    stands, and after that only with ``keep_backup``; null without an old table). What was
+    written must have the rows and checksum of ``df``, else nothing is replaced. Works on any
+    file system whose rename moves a folder.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    fresh, backup = f"{path}.new-{mark}", f"{path}.old-{mark}"
     df.write.parquet(fresh)
-    if os.path.exists(path):
-        os.replace(path, old)
-    os.replace(fresh, path)
-    shutil.rmtree(old, ignore_errors=True)
+    want, got = df.transform(table_checksum).first(), spark.read.parquet(fresh).select(*df.columns).transform(table_checksum).first()
+    (fresh_path, fs), (at, _), (old, _) = _files(spark, fresh), _files(spark, path), _files(spark, backup)
+    if tuple(want) != tuple(got):
+        fs.delete(fresh_path, True)
+        raise RuntimeError(f"{path}: wrote {tuple(got)}, not {tuple(want)}; the table stays as it was")
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise RuntimeError(f"{path}: the old table could not be moved")
+    if not fs.rename(fresh_path, at):
+        if had:
+            fs.rename(old, at)
+        raise RuntimeError(f"{path}: the new table could not be moved; the old one is back")
+    if had and not keep_backup:
+        fs.delete(old, True)
+    return spark.createDataFrame([(path, got["rows"], got["checksum"], backup if had and keep_backup else None)], "path string, rows long, checksum decimal(38,0), backup string")
