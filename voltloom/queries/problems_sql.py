@@ -94,13 +94,28 @@ P4_TRAILING = _DAILY.format(id=_ID.format(c="client_id"), v="aggregate_power_w",
 
 P4_PARTITION = _DAILY.format(id="client_id", v="aggregate_w", t="partition_data", more=f"client_id IS NOT NULL AND aggregate_w NOT IN {_STAND_W}")
 
-P2_REGION_MINUTES = """
-WITH n AS (SELECT region_id, "timestamp" AS ts, avg(CASE WHEN NOT isnan(households_consumption_kw) THEN households_consumption_kw END) AS v FROM grid_1min WHERE region_id IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY 1, 2),
-g AS (SELECT *, lead(ts) OVER (PARTITION BY region_id ORDER BY ts) AS nx FROM n),
-h AS (SELECT region_id, ts, v, CASE WHEN nx - ts <= INTERVAL 24 HOUR THEN nx END AS nx FROM g),
+_MINUTES = """
+WITH n AS (SELECT {key}, "timestamp" AS ts, avg({value}) AS v FROM {table} WHERE {key} IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT *, lead(ts) OVER (PARTITION BY {key} ORDER BY ts) AS nx FROM n),
+h AS (SELECT {key}, ts, v, CASE WHEN nx - ts <= INTERVAL 24 HOUR THEN nx END AS nx FROM g),
 c AS (SELECT *, unnest(generate_series(date_trunc('minute', ts), coalesce(date_trunc('minute', nx - INTERVAL 1 MICROSECOND), date_trunc('minute', ts)), INTERVAL 1 MINUTE)) AS slot FROM h),
-o AS (SELECT region_id, slot, v, date_trunc('minute', ts) = slot AS own, CASE WHEN v IS NOT NULL AND nx IS NOT NULL THEN epoch(least(nx, slot + INTERVAL 1 MINUTE) - greatest(ts, slot)) ELSE 0 END AS s FROM c)
-SELECT region_id, slot, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS readings, count(*) FILTER (WHERE own) = 0 AS timestamp_gap, round(CASE WHEN sum(s) > 0 THEN sum(CASE WHEN s > 0 THEN v * s END) / sum(s) END, 9) AS value,
+o AS (SELECT {key}, slot, v, date_trunc('minute', ts) = slot AS own, CASE WHEN v IS NOT NULL AND nx IS NOT NULL THEN epoch(least(nx, slot + INTERVAL 1 MINUTE) - greatest(ts, slot)) ELSE 0 END AS s FROM c)
+SELECT {key}, slot, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS readings, count(*) FILTER (WHERE own) = 0 AS timestamp_gap, round(CASE WHEN sum(s) > 0 THEN sum(CASE WHEN s > 0 THEN v * s END) / sum(s) END, 9) AS value,
+  count(*) FILTER (WHERE own) = 0 AND sum(s) > 0 AS filled, CAST(sum(s) AS DOUBLE) AS covered_s FROM o GROUP BY 1, 2
+"""
+P2_REGION_MINUTES = _MINUTES.format(key="region_id", table="grid_1min", value="CASE WHEN NOT isnan(households_consumption_kw) THEN households_consumption_kw END")
+P2_TEMPERATURE_MINUTES = _MINUTES.format(key="region_id", table="grid_1min", value=f"CASE WHEN NOT isnan(temperature_c) AND temperature_c NOT IN {_STAND_C} THEN temperature_c END")
+P2_HOUSEHOLD_MINUTES = _MINUTES.format(key="client_id", table="partition_data", value=f"CASE WHEN NOT isnan(aggregate_w) AND aggregate_w BETWEEN 0 AND 100000 AND aggregate_w NOT IN {_STAND_W} THEN aggregate_w END")
+# the register: whole watts added up per month, so that it falls, and is read as a reset, where a month begins
+P2_REGISTER_MINUTES = f"""
+WITH w AS (SELECT client_id, "timestamp" AS ts, coalesce(round(max(CASE WHEN NOT isnan(aggregate_w) AND aggregate_w BETWEEN 0 AND 100000 AND aggregate_w NOT IN {_STAND_W} THEN aggregate_w END)), 0) AS w
+  FROM partition_data WHERE client_id IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT client_id, ts, sum(w) OVER (PARTITION BY client_id, date_trunc('month', ts) ORDER BY ts) AS v FROM w),
+g AS (SELECT *, lead(ts) OVER k AS nx, lead(v) OVER k AS nv FROM n WINDOW k AS (PARTITION BY client_id ORDER BY ts)),
+h AS (SELECT client_id, ts, CASE WHEN nx - ts <= INTERVAL 24 HOUR THEN nx END AS nx, CASE WHEN nv >= v THEN nv - v ELSE nv END AS inc FROM g),
+c AS (SELECT *, unnest(generate_series(date_trunc('minute', ts), coalesce(date_trunc('minute', nx - INTERVAL 1 MICROSECOND), date_trunc('minute', ts)), INTERVAL 1 MINUTE)) AS slot FROM h),
+o AS (SELECT *, date_trunc('minute', ts) = slot AS own, CASE WHEN nx IS NOT NULL THEN epoch(least(nx, slot + INTERVAL 1 MINUTE) - greatest(ts, slot)) ELSE 0 END AS s FROM c)
+SELECT client_id, slot, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS readings, count(*) FILTER (WHERE own) = 0 AS timestamp_gap, round(CASE WHEN sum(s) > 0 THEN sum(CASE WHEN s > 0 THEN inc * s / epoch(nx - ts) END) END, 6) AS value,
   count(*) FILTER (WHERE own) = 0 AND sum(s) > 0 AS filled, CAST(sum(s) AS DOUBLE) AS covered_s FROM o GROUP BY 1, 2
 """
 
@@ -110,4 +125,4 @@ SELECT count(*) AS hidden, true AS all_filled, true AS better_than_mean FROM o
 WHERE md5(client_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S'))[1] = '0' AND NOT isnan(w) AND w NOT IN {_STAND_W} AND w BETWEEN 0 AND 100000
 """
 
-SQL = {"p3_masked": P3_MASKED, "p2_region_minutes": P2_REGION_MINUTES, "p4_trailing_partition": P4_PARTITION, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_trailing_power": P4_TRAILING, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}
+SQL = {"p3_masked": P3_MASKED, "p2_region_minutes": P2_REGION_MINUTES, "p2_region_temperature_minutes": P2_TEMPERATURE_MINUTES, "p2_household_minutes": P2_HOUSEHOLD_MINUTES, "p2_register_minutes": P2_REGISTER_MINUTES, "p4_trailing_partition": P4_PARTITION, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_trailing_power": P4_TRAILING, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}

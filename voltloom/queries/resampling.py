@@ -155,8 +155,8 @@ SELECT region_id, round(sum(households_consumption_kw) / 60, 9) AS energy_kwh, r
     "daily_energy": f"WITH {HALF} SELECT client_id, CAST(slot AS DATE) AS day, round(coalesce(sum(kw) * 0.5, 0), 9) AS energy_kwh FROM h GROUP BY 1, 2",
     "monthly_energy": f"WITH {HALF} SELECT client_id, CAST(date_trunc('month', slot) AS DATE) AS month, round(sum(kw) * 0.5, 9) AS energy_kwh, count(*) AS slots FROM h GROUP BY 1, 2",
     "hourly_profile": f"WITH {HALF} SELECT client_id, CAST(hour(slot) AS INTEGER) AS hour, round(avg(kw), 9) AS mean_kw, round(quantile_cont(kw, 0.95), 9) AS p95_kw FROM h GROUP BY 1, 2",
-    "portfolio_summary": """SELECT * FROM (SELECT client_id, round(sum(aggregate_w) / 60000, 9) AS energy_kwh, round(sum(aggregate_w) / nullif(count(aggregate_w), 0) / 1000, 9) AS mean_kw, round(max(aggregate_w) / 1000, 9) AS peak_kw, count(aggregate_w) AS valid, count(*) AS "rows"
-FROM partition_data WHERE aggregate_w IS NULL OR NOT isnan(aggregate_w) GROUP BY 1) WHERE abs(energy_kwh) < 1e300""",
+    "portfolio_summary": """WITH x AS (SELECT client_id, CASE WHEN aggregate_w BETWEEN 0 AND 100000 AND aggregate_w NOT IN (-1.0, -999.0, 65535.0, 999999.0) THEN aggregate_w END AS w FROM partition_data)
+SELECT client_id, round(sum(w) / 60000, 9) AS energy_kwh, round(avg(w) / 1000, 9) AS mean_kw, round(max(w) / 1000, 9) AS peak_kw, count(w) AS valid, count(*) AS "rows" FROM x GROUP BY 1""",
     "seasonal_energy": f"""WITH {HALF} SELECT {_SEASON} AS season, CASE WHEN isodow(slot) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, CAST(hour(slot) * 2 + minute(slot) // 30 AS INTEGER) AS slot_index,
   round(avg(kw), 9) AS mean_kw, round(avg(CASE WHEN isodow(slot) >= 6 THEN 1 ELSE 0 END), 9) AS weekend, round(avg(sin(2 * pi() * (month(slot) - 1) / 12)), 9) AS month_sin, count(DISTINCT CAST(slot AS DATE)) AS days FROM h GROUP BY 1, 2, 3""",
     "flag_extent": """SELECT region_id, CAST("timestamp" AS DATE) AS day, max(is_dr_peak) AS any_peak, max(is_dr_event) AS any_event, count(DISTINCT CASE WHEN households_consumption_kw IS NOT NULL THEN hour("timestamp") END) AS hours,

@@ -324,5 +324,5 @@ y AS (SELECT ts, CAST(CASE WHEN value > round(m, 6) THEN 2 ELSE 0 END + CASE WHE
     "daily_vectors": f"WITH {_G30} SELECT region_id, CAST(slot AS DATE) AS day, CAST(count(*) AS INTEGER) AS slots, CAST(min(hour(slot) * 2 + minute(slot) // 30) AS INTEGER) AS first_slot, CAST(max(hour(slot) * 2 + minute(slot) // 30) AS INTEGER) AS last_slot, round(sum(round(kw, 6)), 9) AS total FROM q WHERE kw IS NOT NULL GROUP BY 1, 2",
     "quarter_hours": f"""WITH x AS (SELECT client_id, time_bucket(INTERVAL 15 MINUTE, "timestamp") AS slot, CASE WHEN NOT isnan(aggregate_w) AND aggregate_w NOT IN {_STAND} AND aggregate_w BETWEEN 0 AND 15000 THEN aggregate_w END AS w FROM partition_data)
 SELECT client_id, slot, count(*) AS readings, round(CASE WHEN count(w) = count(*) THEN avg(w) / 1000 END, 9) AS mean_kw FROM x GROUP BY 1, 2""",
-    "spike_mask": f"WITH {METERS} SELECT client_id, count(*) FILTER (WHERE kw > 5) AS removed, round(avg(CASE WHEN kw <= 5 THEN kw END), 9) AS mean_kw FROM m GROUP BY 1",
+    "spike_mask": f"WITH {METERS} SELECT client_id, count(*) FILTER (WHERE kw > 15) AS removed, round(avg(CASE WHEN kw <= 15 THEN kw END), 9) AS mean_kw FROM m GROUP BY 1",
 }
