@@ -61,7 +61,7 @@ def regular_grid(
     k = [f"_k{i}" for i in range(len(keys))]
     v = F.lit(None).cast("double") if value is None else F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], micros(ts).alias("_t"), v.alias("_v"))
-    rows = rows.where(" and ".join(f"{c} is not null" for c in [*k, "_t"])).withColumn("_b", floor_to(F.col("_t"), block))
+    rows = rows.where(" and ".join(f"{c} is not null" for c in [*k, "_t"])).withColumn("_b", floor_to(F.col("_t"), block)).where("_b is not null")
 
     spread = rows.repartition(*k, "_b")
     once = spread.groupBy(*k, "_b", "_t").agg((F.avg if kind == "gauge" else F.max)("_v").alias("_v"))
@@ -70,7 +70,8 @@ def regular_grid(
         *k, "_b", "_t", "_v",
         F.lag("_t").over(inside).alias("_pt"), F.lead("_t").over(inside).alias("_nt"), F.lead("_v").over(inside).alias("_nv"),
     )
-    # both branches read the same columns of ``once``, so that they share one exchange
+    # both branches read the same columns of ``once`` under the same filters (the join below would
+    # add the one on the block to one of them only), so that they share one exchange
     ends = once.groupBy(*k, "_b").agg(F.min("_t").alias("_ft"), F.min_by("_v", "_t").alias("_fv"), F.max("_t").alias("_lt"), F.max_by("_v", "_t").alias("_lv"))
     across = Window.partitionBy(*k).orderBy("_b")
     ends = ends.select(*k, "_b", *[F.lag(c).over(across).alias(n) for c, n in (("_lt", "_before_t"), ("_lv", "_before_v"))], *[F.lead(c).over(across).alias(n) for c, n in (("_ft", "_after_t"), ("_fv", "_after_v"))])
