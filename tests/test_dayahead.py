@@ -92,3 +92,8 @@ def test_walk_forward(spark, days):
     f = m.where(F.col("day") == x.day).first().features
     assert x.prediction == f[20:48] + f[:20]
     assert dayahead.vector_errors(walked, ["method"]).where("rmse >= mae and days = 3").count() == 2
+    empty = m.limit(0)
+    assert dayahead.walk_forward(empty, "key", ["2025-01-27"], alpha=1.0).count() == 0
+    alpha, errors = dayahead.select_alpha(empty, F.lit("2025-01-27").cast("date"), F.lit("2025-01-29").cast("date"), [1.0, 100.0])
+    assert alpha == 100.0 and errors.count() == 0
+    assert [x.method for x in dayahead.walk_forward(m, "key", ["2025-01-01"], alpha=1.0).select("method").distinct().collect()] == ["persistence"]

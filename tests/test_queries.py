@@ -1,4 +1,4 @@
-"""Every query that has SQL gives the same rows as that SQL; all others run."""
+"""Every query that has SQL gives the same rows as that SQL, and some; all others run and give some."""
 
 import collections
 import glob
@@ -11,6 +11,12 @@ import __spark_entry__ as entry
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
+#: Queries that find nothing in the smallest tables (at ten times their size they do).
+MAY_BE_EMPTY = {
+    "alpha_errors", "walk_forward_errors", "walk_forward_persistence", "training_rows", "shared_hot_days", "day_ahead_forecast", "day_ahead_recommended", "day_ahead_matched", "event_window_energy", "event_savings",
+    "event_flag_windows", "padded_event_readings", "evening_lookback", "local_usual_evening", "p5_found", "stream_half_hours", "ridge_forecast", "frozen_runs", "p9_found", "p8_found", "peak_classifier",
+}
+
 
 def plain(x):
     return ("nan" if x != x else float(f"{x:.9g}") + 0.0) if isinstance(x, float) else x
@@ -33,6 +39,7 @@ def test_query(spark, folder, db, tmp_path, name):
     out = str(tmp_path / "out")
     QUERIES[name](spark, folder).write.parquet(out)
     got = db.sql(f"SELECT * FROM read_parquet('{out}/*.parquet')")
+    assert name in MAY_BE_EMPTY or len(got) > 0
     if name in SQL:
         want = db.sql(SQL[name])
         columns = sorted(want.columns)

@@ -162,25 +162,31 @@ def vector_errors(df: DataFrame, by: Sequence[str], actual: str = "target", pred
 
 
 def select_alpha(matrix: DataFrame, train_end: Column, validation_end: Column, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0, 1000.0)) -> tuple[float, DataFrame]:
-    """(the alpha with the least rmse on the days from ``train_end`` to before ``validation_end``, the table of errors per alpha)."""
-    models = ridge_path(matrix.where(F.col("day") < train_end), alphas)
+    """(the alpha with the least rmse on the days from ``train_end`` to before ``validation_end``, the table of errors per alpha).
+
+    Without days to fit or to validate the table is empty and the alpha the largest.
+    """
+    train = matrix.where(F.col("day") < train_end)
+    models = {} if train.isEmpty() else ridge_path(train, alphas)
     valid = matrix.where((F.col("day") >= train_end) & (F.col("day") < validation_end))
     errors = vector_errors(predict(valid, {str(a): m for a, m in models.items()}), ["method"])
     best = errors.orderBy("rmse", "method").first()  # a row an alpha
-    return float(best["method"]), errors
+    return float(best["method"]) if best else max(alphas), errors
 
 
 def walk_forward(matrix: DataFrame, key: str, origins: Sequence[str], *, alpha: float, issue_hour: int = 14) -> DataFrame:
     """day, method ('ridge', 'persistence'), target, prediction: each origin's model is fitted to the days before it and asked for the days up to the next origin.
 
     persistence: the 24 hours before the issue time, laid onto the clock of the target day.
+    An origin without a day before it has no ridge forecast.
     """
     out = None
     known = 2 * issue_hour
     for start, end in zip(origins, [*origins[1:], None], strict=True):
-        model = ridge_path(matrix.where(F.col("day") < F.lit(start).cast("date")), [alpha])[alpha]
+        past = matrix.where(F.col("day") < F.lit(start).cast("date"))
+        model = {} if past.isEmpty() else {"ridge": ridge_path(past, [alpha])[alpha]}
         ahead = matrix.where((F.col("day") >= F.lit(start).cast("date")) & (F.lit(True) if end is None else F.col("day") < F.lit(end).cast("date")))
-        x = predict(ahead, {"ridge": model})
+        x = predict(ahead, model)
         last = ahead.select(*[c for c in ahead.columns if c != "features"], F.lit("persistence").alias("method"), F.concat(F.slice("features", SLOTS - known + 1, known), F.slice("features", 1, SLOTS - known)).alias("prediction"))
         both = x.unionByName(last).withColumn("origin", F.lit(start).cast("date"))
         out = both if out is None else out.unionByName(both)
