@@ -96,8 +96,13 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_shares_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each split holds its share of the records, to within three percent of all."""
-    return p5_shares(spark, d).select("split", "share", (F.abs(F.col("record_share") - F.col("share")) <= 0.03).alias("kept"))
+    """Whether each split holds its share of the records, to within three percent of all, or to within the largest home, which is never cut."""
+    x = p5_assignment(spark, d)
+    homes = x.groupBy("home", "split").agg(F.sum("records").alias("records"))
+    total = homes.agg(F.sum("records").alias("r"), F.max("records").alias("largest"))  # one row
+    y = read(spark, d, "split_targets").join(homes.groupBy("split").agg(F.sum("records").alias("records")), "split", "left").join(F.broadcast(total), F.lit(True))
+    off = F.abs(F.coalesce("records", F.lit(0)) / F.col("r") - F.col("share"))
+    return y.select("split", "share", (off <= F.greatest(F.col("largest") / F.col("r"), F.lit(0.03))).alias("kept"))
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
