@@ -76,6 +76,29 @@ def test_look_back(spark):
     assert [r.d for r in ev.hot_days(hot, "c", "d", F.col("ok"), "t").collect()] == [1]
 
 
+def test_asks_are_not_broadcast(spark):
+    r = random.Random(4)
+    slots = [(c, datetime(2025, 1, 1, 17) + timedelta(days=r.randrange(200), minutes=30 * r.randrange(12)), r.random()) for c in ("a", "b", "c") for _ in range(400)]
+    slots = list({(c, t): (c, t, v) for c, t, v in slots}.values())
+    asks = [(i, c, datetime(2025, 1, 1) + timedelta(days=i * 7), 36, 44) for i in range(30) for c in ("a", "b", "d")] + [(99, "a", None, 36, 44)]
+    gone = {date(2025, 1, 1) + timedelta(days=d) for d in range(0, 200, 3)}
+    of = spark.createDataFrame(asks, "ask_id int, client_id string, as_of timestamp_ntz, from_slot int, to_slot int").distinct()
+    x = ev.local_usual_window(spark.createDataFrame(slots, "client_id string, slot timestamp_ntz, kw double"), of, "client_id", "slot", "kw", spark.createDataFrame([(d,) for d in gone], "date date"), most=5, days=40)
+    got = {(i.ask_id, i.client_id): (pytest.approx(i.usual_kwh), i.days) for i in x.collect()}
+    plan = x._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastExchange") == 1  # the days of events
+    want = {}
+    for i, c, at, a, b in asks[:-1]:
+        days = {}
+        for k, t, v in slots:
+            if k == c and at - timedelta(days=40) <= t < at and a <= t.hour * 2 + t.minute // 30 < b and t.date() not in gone:
+                days.setdefault(t.date(), []).append(v / 2)
+        if days:
+            last = [sum(days[d]) for d in sorted(days)[-5:]]
+            want[i, c] = (sum(last) / len(last), len(last))
+    assert got == want
+
+
 def test_clusters(spark):
     means = spark.createDataFrame([(0, 5.0, 0.2), (1, 1.0, 0.9), (2, 9.0, 0.1), (3, 2.0, 0.3)], "cluster int, usage double, evening double")
     rules = [("low", "usage", False), ("large", "usage", True), ("evening", "evening", True)]

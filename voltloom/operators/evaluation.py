@@ -140,12 +140,20 @@ def metric_differences(metrics: DataFrame, on: Sequence[str], method: str, first
 
 
 def local_usual_window(slots: DataFrame, asks: DataFrame, client: str, ts: str, kw: str, event_days: DataFrame, *, most: int = 14, days: int = 60, hours: float = 0.5) -> DataFrame:
-    """For each ask (ask_id, client, as_of, from_slot, to_slot): mean energy in the window over at most ``most`` latest days with readings there, up to ``days`` back, days with an event left out."""
+    """For each ask (ask_id, client, as_of, from_slot, to_slot): mean energy in the window over at most ``most`` latest days with readings there, up to ``days`` back, days with an event left out.
+
+    The days of an ask lie in two blocks of ``days`` days, so that it is repeated twice and not
+    once a day. Asks are as many as households: they are never broadcast, whatever their
+    size is reckoned at before they are repeated.
+    """
     index = F.hour(ts) * 2 + F.floor(F.minute(ts) / 30)
     x = slots.select(client, F.to_date(ts).alias("date"), index.alias("_s"), F.col(kw).alias("_v")).where("_v is not null").join(F.broadcast(event_days.select("date").distinct()), "date", "left_anti")
-    near = asks.withColumn("date", F.explode(F.sequence(F.date_sub(F.to_date("as_of"), days), F.date_sub(F.to_date("as_of"), 1))))
-    y = near.join(x, [client, "date"]).where((F.col("_s") >= F.col("from_slot")) & (F.col("_s") < F.col("to_slot")))
-    daily = y.groupBy("ask_id", client, "date").agg((F.sum("_v") * hours).alias("_e"))
+    block = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / days)
+    near = asks.withColumn("_to", F.to_date("as_of")).withColumn("_from", F.date_sub("_to", days))
+    near = near.withColumn("_b", F.explode(F.sequence(block(F.col("_from")), block(F.date_sub("_to", 1)))))
+    y = near.hint("merge").join(x.withColumn("_b", block(F.col("date"))), [client, "_b"])
+    y = y.where((F.col("date") >= F.col("_from")) & (F.col("date") < F.col("_to")) & (F.col("_s") >= F.col("from_slot")) & (F.col("_s") < F.col("to_slot")))
+    daily = y.groupBy("ask_id", client, "_b", "date").agg((F.sum("_v") * hours).alias("_e"))
     daily = daily.withColumn("_n", F.row_number().over(Window.partitionBy("ask_id", client).orderBy(F.desc("date")))).where(F.col("_n") <= most)
     return daily.groupBy("ask_id", client).agg(F.avg("_e").alias("usual_kwh"), F.count(F.lit(1)).alias("days"))
 
