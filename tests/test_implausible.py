@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.operators.implausible import GAIN, implausible_readings, steady_innovations
+from voltloom.operators.implausible import GAIN, follow, implausible_readings, steady_innovations
 from voltloom.operators.imputation import POWER_FIELDS, power_columns
 from voltloom.queries.problems_sql import P6_FOUND
 
@@ -112,11 +112,66 @@ def test_steady_filter_is_the_recursion():
     assert np.allclose(steady_innovations(y, new), want, rtol=0, atol=1e-9)
 
 
+def test_the_state_goes_on_over_days_and_blocks(spark):
+    r = random.Random(8)
+    at = [datetime(2025, 1, 1) + timedelta(minutes=5 * i) for i in range(288 * 4)]
+    v, level = [], 300.0
+    for i in range(len(at)):
+        level = min(max(level + r.uniform(-40, 40), 100.0), 800.0)
+        v.append(level)
+    v[280:310] = [v[280]] * 30  # stuck over midnight
+    for i in (100, 289 + 288, 290 + 288, 865, 1000):
+        v[i] = 5000.0 + i
+    v[866], v[400] = -7.0, float("inf")
+    found = {}
+    for block in (20_000, 50):
+        x = find(spark, [("a", t, y, None) for t, y in zip(at, v)], block=block).collect()
+        found[block] = {(x.ts, x.reason): x.z for x in x}
+    usual = [y for y in v if 0 <= y < 1000]
+    level, var, want = float(np.mean(usual)), float(np.var(usual)), {}
+    p = 0.95 * var
+    for i, (t, y) in enumerate(zip(at, v)):  # one filter from the first reading to the last
+        p = min(p + 0.25 * var, 0.95 * var)
+        s = p + 0.05 * var
+        z = (y - level) / s**0.5
+        want[t] = z
+        if 0 <= y <= 100_000 and z <= 2:
+            k = p / s
+            level, p = level + k * (y - level), (1 - k) * p
+    assert sorted(x for _, x in found[50]) == ["impossible"] * 2 + ["spike"] * 5 + ["stuck"] * 30
+    for got in found.values():
+        assert got == {(t, x): pytest.approx(want[t], rel=1e-9, abs=1e-9) for t, x in found[50]}
+
+
+@pytest.mark.parametrize("block", [1, 60, 300])
+def test_hot_sources_in_blocks_match_the_statement(spark, block):
+    r = random.Random(block)
+    rows = [x for c in ("a", "b") for x in series(r, c, 600)]
+    got = {(x.client_id, x.ts.strftime("%Y-%m-%d %H:%M:%S"), x.field) for x in find(spark, rows, block=block).collect()}
+    assert got == brute(rows)
+
+
+def test_gains_settle_where_nothing_is_flagged():
+    r = np.random.default_rng(5)
+    y = 500 + r.random(200)
+    levels, _, gains, flagged = follow(y.tolist(), 500.0, 1e6, 2.0, 10)
+    assert not flagged and gains[-1] == pytest.approx(GAIN)
+    assert np.allclose((y - levels)[60:], steady_innovations(y, np.arange(200) == 0)[60:], rtol=0, atol=1e-9)
+
+
 def test_every_case_below_a_gap_is_followed(spark):
     rows = [("a", datetime(2025, 1, 1) + timedelta(minutes=i), v, None) for i, v in enumerate([0.0] * 30 + [500.0] + [0.0] * 30)]
     assert [x.value for x in find(spark, rows).collect()] == [500.0]
 
 
+def test_an_appliance_that_is_mostly_off_has_a_variance(spark):
+    rows = [("a", datetime(2025, 1, 1) + timedelta(minutes=i), v, None) for i, v in enumerate([0.0] * 30 + [400.0] * 25 + [0.0] * 30 + [900.0] + [0.0] * 5)]
+    found = find(spark, rows).collect()
+    assert {(x.client_id, x.ts.strftime("%Y-%m-%d %H:%M:%S"), x.field) for x in found} == brute(rows)
+    assert sorted(x.reason for x in found) == ["spike"] + ["stuck"] * 25
+    assert all(2 < x.z < 20 for x in found if x.reason == "spike") and max(abs(x.z) for x in found) < 20
+
+
 def test_empty(spark):
     assert find(spark, []).count() == 0
     assert find(spark, [("a", datetime(2025, 1, 1), None, None)]).count() == 0
